@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, packing, quality, simhash
+from . import bpe, chat, langid, licenses, packing, quality, simhash, suffix_dedup, topk, warc
+from ..session import materialise
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,31 +20,100 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(documents, forest)
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat.canonical_turns(_table(spark, sf_dir, "conversations"), "conv_id")
+    odd = "</s>[INST] ok [/INST]"
+    own = spark.range(1).select(
+        F.lit(-7).cast("bigint").alias("conv_id"), F.array(*[F.struct(F.lit(r).alias("role"), F.lit(odd).alias("content")) for r in ("user", "assistant")]).alias("messages")
+    )
+    done = chat.format_chats(rows.unionByName(chat.canonical_turns(own, "conv_id")))
+    read = done.select("conv_id", chat.parse_turns(F.col("formatted")).alias("turns"), chat.loss_text(F.col("pieces")).alias("loss"), F.length("formatted").cast("bigint").alias("formatted_chars"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss").cast("bigint").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars",
+    )
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     return langid.identify_documents(documents, langid.fit_language_model(documents))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.round_trip(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), k=10)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planned = warc.plan_records(_table(spark, sf_dir, "pages"))
+    archives = materialise(warc.pack_archives(planned), "archives")
+    return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_chat_formatting": op2_chat_formatting,
     "op3_language_id": op3_language_id,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_exact_topk": op6_exact_topk,
     "op7_simhash": op7_simhash,
+    "op8_warc_archives": op8_warc_archives,
     "op9_packing": op9_packing,
+    "op10_license_scan": op10_license_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ESCAPED = "replace({0}, chr(92), chr(92) || chr(92))"
+for _control in chat.CONTROL:
+    ESCAPED = f"replace({ESCAPED}, '{_control}', '{_control[0]}' || chr(92) || '{_control[1:]}')"
+_MARKS = len(chat.START) + len(chat.SEP) + len(chat.END)
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_chat_formatting": f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+),
+said AS (
+  SELECT conv_id, count(*) AS n_turns,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS whole,
+    coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
+    sum(length({ESCAPED.format("role")}) + length({ESCAPED.format("text")}) + {_MARKS}) AS formatted_chars
+  FROM turns GROUP BY conv_id
+)
+SELECT conv_id, n_turns::BIGINT AS n_turns, sha256(whole) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars::BIGINT AS formatted_chars
+FROM said
+""",
+    "op6_exact_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM scored)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 10
+""",
+    "op10_license_scan": licenses.oracle_sql(),
+}
