@@ -53,6 +53,25 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, n: int, column: str) -> DataFrame:
+    """Write ``df`` as a table in ``n`` buckets of ``column`` in the warehouse and read it back.
+
+    Joins on ``column`` with rows in ``n`` partitions by it don't shuffle the table.
+    The table is dropped when the driver process ends.
+    """
+    spark, name = df.sparkSession, f"tessera_{uuid.uuid4().hex}"
+    df.write.bucketBy(n, column).sortBy(column).format("parquet").saveAsTable(name)
+    atexit.register(_drop, spark, name)
+    return spark.table(name)
+
+
+def _drop(spark: SparkSession, name: str) -> None:
+    try:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    except Exception:  # the session has ended already
+        return
+
+
 def discard(df: DataFrame) -> None:
     """Delete the table that ``materialise`` wrote for ``df``, once nothing reads it."""
     files = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
