@@ -1,4 +1,8 @@
-"""The catalogue of registered queries."""
+"""All registered queries of the engine."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from . import search_queries  # noqa: F401  registers its queries
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
