@@ -82,7 +82,7 @@ def keyword_route(chunks: DataFrame, query: q.Query, limit: int = 20, allowed: D
         scored = bm25(chunks, query, q.TEXT_COLUMNS).where(test)
         if allowed is not None:
             scored = scored.join(allowed, "entry_id", "left_semi")
-        rows = scored.select(*keys, F.round("bm25", 9).alias("bm25"), coverage.cast("bigint").alias("coverage"), tf.cast("bigint").alias("tf"), (F.col("start") + first - 1).cast("bigint").alias("hit_offset"))
+        rows = scored.select(*keys, F.round("bm25", 12).alias("bm25"), coverage.cast("bigint").alias("coverage"), tf.cast("bigint").alias("tf"), (F.col("start") + first - 1).cast("bigint").alias("hit_offset"))
         order = ["bm25", "entry_id", "chunk_no"]
         rows = rows.orderBy(*order).limit(KEYWORD_RECALL)
         if n:
@@ -152,7 +152,7 @@ def heading_route(headings: DataFrame, query: q.Query, limit: int = 20, allowed:
         scored = scored.join(allowed, "entry_id", "left_semi")
     coverage = sum((q.contains(F.col("heading_text"), p).cast("int") for p in query.phrases), F.lit(0))
     score = F.round(coverage / F.lit(float(len(query.phrases))), 4) if query.phrases else F.lit(None).cast("double")
-    rows = scored.select("workspace", "entry_id", "heading_no", score.alias("score"), "heading_text", "level", F.col("start").alias("heading_offset"), F.round("bm25", 9).alias("bm25"))
+    rows = scored.select("workspace", "entry_id", "heading_no", score.alias("score"), "heading_text", "level", F.col("start").alias("heading_offset"), F.round("bm25", 12).alias("bm25"))
     order = ["bm25", "entry_id", "heading_no"]
     kept = rows.orderBy(*order).limit(min(HEADING_RECALL, max(3 * limit, 30)))
     return kept.withColumn("route_rank", F.row_number().over(W.orderBy(*order)).cast("bigint")).drop("bm25")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import search_queries  # noqa: F401  registers its queries
+from . import library_queries, search_queries, text_queries  # noqa: F401  they register their queries
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

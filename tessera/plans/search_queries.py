@@ -39,7 +39,7 @@ def bm25_sql(terms: list[str], columns: tuple[str, ...] = ("chunk_text", "title"
     return f"""
 counted AS (SELECT *, ({' + '.join(f'greatest(0, length({c}) - 2)' for c in columns)})::DOUBLE AS dl, {f} FROM {table}),
 stats AS (SELECT workspace, count(*)::DOUBLE AS n, avg(dl) AS mean{n} FROM counted GROUP BY workspace),
-scored AS (SELECT c.*, round(-({' + '.join(part(i) for i in range(len(terms)))}), 9) AS bm25 FROM counted c JOIN stats s USING (workspace))"""
+scored AS (SELECT c.*, round(-({' + '.join(part(i) for i in range(len(terms)))}), 12) AS bm25 FROM counted c JOIN stats s USING (workspace))"""
 
 
 CHUNKS_SQL = "chunks AS (SELECT workspace, entry_id, 0::BIGINT AS chunk_no, 0::BIGINT AS start, text AS chunk_text, title, author, publisher, publish_date FROM entries)"
@@ -81,15 +81,15 @@ def keyword_query(name: str, text: str, match: list[str], phrases: list[str], te
     query(f"WITH {m.ENTRIES_SQL}, {CHUNKS_SQL}, {keyword_sql(match, phrases, test, allowed)} {COLUMNS_SQL}", name)(run)
 
 
-keyword_query("kw_or_coverage", "eaux ntion reering", ["eaux", "ntion", "reering"], ["eaux", "ntion", "reering"], " OR ".join(map(anywhere, ["eaux", "ntion", "reering"])))
-keyword_query("kw_and", "ntion AND reering", ["ntion", "reering"], ["ntion", "reering"], f"{anywhere('ntion')} AND {anywhere('reering')}")
-keyword_query("kw_not", "eaux NOT ntion", ["eaux", "ntion"], ["eaux", "ntion"], f"{anywhere('eaux')} AND NOT {anywhere('ntion')}")
-keyword_query("kw_precedence", "eaux OR ntion AND reering NOT ingly", ["eaux", "ntion", "reering", "ingly"], ["eaux", "ntion", "reering", "ingly"],
-              f"{anywhere('eaux')} OR ({anywhere('ntion')} AND ({anywhere('reering')} AND NOT {anywhere('ingly')}))")
+keyword_query("kw_or_coverage", "eaux tion reering", ["eaux", "tion", "reering"], ["eaux", "tion", "reering"], " OR ".join(map(anywhere, ["eaux", "tion", "reering"])))
+keyword_query("kw_and", "tion AND reering", ["tion", "reering"], ["tion", "reering"], f"{anywhere('tion')} AND {anywhere('reering')}")
+keyword_query("kw_not", "tion NOT reering", ["tion", "reering"], ["tion", "reering"], f"{anywhere('tion')} AND NOT {anywhere('reering')}")
+keyword_query("kw_precedence", "eaux OR tion AND reering NOT ingly", ["eaux", "tion", "reering", "ingly"], ["eaux", "tion", "reering", "ingly"],
+              f"{anywhere('eaux')} OR ({anywhere('tion')} AND ({anywhere('reering')} AND NOT {anywhere('ingly')}))")
 keyword_query("kw_phrase", '"of the" "in the"', ["of the", "in the"], ["of the", "in the"], f"{anywhere('of the')} OR {anywhere('in the')}")
 keyword_query("kw_prefix", "reeri* eauxv*", ["reeri", "eauxv"], ["reeri", "eauxv"], f"{anywhere('reeri')} OR {anywhere('eauxv')}")
-keyword_query("kw_range_filter", "publish_date>=2010 publish_date<2018 ntion", ["ntion"], ["ntion"], anywhere("ntion"), "entry_id IN (SELECT entry_id FROM entries WHERE publish_date >= '2010' AND publish_date < '2018')")
-keyword_query("kw_filter_candidates", 'author:"author 3" title:the ntion', ["ntion"], ["ntion"], anywhere("ntion"),
+keyword_query("kw_range_filter", "publish_date>=2010 publish_date<2018 tion", ["tion"], ["tion"], anywhere("tion"), "entry_id IN (SELECT entry_id FROM entries WHERE publish_date >= '2010' AND publish_date < '2018')")
+keyword_query("kw_filter_candidates", 'author:author title:the tion', ["tion"], ["tion"], anywhere("tion"),
               "entry_id IN (SELECT entry_id FROM entries WHERE contains(lower(title), 'the') AND contains(lower(author), 'author'))")
 
 
@@ -110,21 +110,21 @@ def kw_short_like(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("workspace", "entry_id", "chunk_no", "route_rank", "hit_offset")
 
 
-@query(f"""WITH {m.ENTRIES_SQL}, {CHUNKS_SQL}, {bm25_sql(["ntion", "reering"])}
-SELECT workspace, entry_id, chunk_no, round(bm25, 6) AS bm25 FROM scored WHERE {anywhere('ntion')} OR {anywhere('reering')} ORDER BY round(bm25, 9), entry_id, chunk_no LIMIT 20""")
+@query(f"""WITH {m.ENTRIES_SQL}, {CHUNKS_SQL}, {bm25_sql(["tion", "reering"])}
+SELECT workspace, entry_id, chunk_no, round(bm25, 6) AS bm25 FROM scored WHERE {anywhere('tion')} OR {anywhere('reering')} ORDER BY scored.bm25, entry_id, chunk_no LIMIT 20""")
 def kw_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    topic = q.parse("ntion reering")
+    topic = q.parse("tion reering")
     scored = r.bm25(m.chunks(spark, sf_dir), topic, q.TEXT_COLUMNS).where(q.condition(topic, F.col))
-    rows = scored.select("workspace", "entry_id", "chunk_no", F.round("bm25", 9).alias("bm25")).orderBy("bm25", "entry_id", "chunk_no").limit(20)
+    rows = scored.select("workspace", "entry_id", "chunk_no", F.round("bm25", 12).alias("bm25")).orderBy("bm25", "entry_id", "chunk_no").limit(20)
     return rows.withColumn("bm25", F.round("bm25", 6))
 
 
-NEAR_TESTS = " OR ".join(f"regexp_matches(lower({c}), '(?s)ntion.{{0,8}}reer') OR regexp_matches(lower({c}), '(?s)reer.{{0,8}}ntion')" for c in q.TEXT_COLUMNS)
+NEAR_TESTS = " OR ".join(f"regexp_matches(lower({c}), '(?s)tion.{{0,8}}reer') OR regexp_matches(lower({c}), '(?s)reer.{{0,8}}tion')" for c in q.TEXT_COLUMNS)
 
 
 @query(f"""WITH {m.ENTRIES_SQL}, {CHUNKS_SQL} SELECT workspace, entry_id, chunk_no FROM chunks WHERE {NEAR_TESTS}""")
 def kw_near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    topic = q.parse("NEAR(ntion reer, 10)")
+    topic = q.parse("NEAR(tion reer, 10)")
     return m.chunks(spark, sf_dir).where(q.condition(topic, F.col)).select("workspace", "entry_id", "chunk_no")
 
 
@@ -171,19 +171,19 @@ def window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 HEADING_ROUTE_SQL = f"""
 titled AS (SELECT *, heading_text AS chunk_text FROM headings),
-{bm25_sql(["ntion", "the"], ("chunk_text",), "titled").replace("counted", "h_counted").replace("stats", "h_stats").replace("scored", "h_scored")},
-h_kept AS (SELECT workspace, entry_id, heading_no, start AS heading_offset, heading_text, level, bm25, round((contains(lower(heading_text), 'ntion')::INT + contains(lower(heading_text), 'the')::INT) / 2.0::DOUBLE, 4) AS score
-  FROM h_scored WHERE contains(lower(heading_text), 'ntion') OR contains(lower(heading_text), 'the')),
+{bm25_sql(["tion", "the"], ("chunk_text",), "titled").replace("counted", "h_counted").replace("stats", "h_stats").replace("scored", "h_scored")},
+h_kept AS (SELECT workspace, entry_id, heading_no, start AS heading_offset, heading_text, level, bm25, round((contains(lower(heading_text), 'tion')::INT + contains(lower(heading_text), 'the')::INT) / 2.0::DOUBLE, 4) AS score
+  FROM h_scored WHERE contains(lower(heading_text), 'tion') OR contains(lower(heading_text), 'the')),
 heading AS (SELECT *, row_number() OVER (ORDER BY bm25, entry_id, heading_no) AS route_rank FROM h_kept QUALIFY route_rank <= {{limit}})"""
 BASE_SQL = f"{m.ENTRIES_SQL}, {CHUNKS_SQL}, {m.VECTORS_SQL}, {m.LINES_SQL}, {m.HEADINGS_SQL}"
 
 
 @query(f"WITH {BASE_SQL}, {HEADING_ROUTE_SQL.format(limit=60)} SELECT workspace, entry_id, heading_no, score, heading_text, level, heading_offset, route_rank FROM heading")
 def heading_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.heading_route(m.headings(spark, sf_dir), q.parse("ntion the"), LIMIT)
+    return r.heading_route(m.headings(spark, sf_dir), q.parse("tion the"), LIMIT)
 
 
-ROUTES_SQL = f"{BASE_SQL}, {keyword_sql(['ntion', 'the'], ['ntion', 'the'], anywhere('ntion') + ' OR ' + anywhere('the'), limit=60)}, {VECTOR_SQL}, {HEADING_ROUTE_SQL.format(limit=180)}"
+ROUTES_SQL = f"{BASE_SQL}, {keyword_sql(['tion', 'the'], ['tion', 'the'], anywhere('tion') + ' OR ' + anywhere('the'), limit=60)}, {VECTOR_SQL}, {HEADING_ROUTE_SQL.format(limit=180)}"
 FUSE_SQL = """
 united AS (
   SELECT workspace, entry_id, chunk_no::VARCHAR AS unit, 'fts' AS route, route_rank, hit_offset, NULL::BIGINT AS win_start, NULL::BIGINT AS heading_offset FROM keyword
@@ -202,15 +202,15 @@ def library(spark: SparkSession, sf_dir: str) -> Library:
 
 @query(f"WITH {ROUTES_SQL}, {FUSE_SQL} SELECT workspace, entry_id, unit, fused_rank, round(total, 4) AS score, round(f, 4) AS fts_score, round(v, 4) AS vector_score, round(h, 4) AS heading_score, score_source FROM top")
 def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = plan(library(spark, sf_dir), "ntion the", VECTOR, LIMIT).hits
+    hits = plan(library(spark, sf_dir), "tion the", VECTOR, LIMIT).hits
     return hits.select("workspace", "entry_id", "unit", "fused_rank", "score", "fts_score", "vector_score", "heading_score", "score_source")
 
 
 SECTION_SQL = """
-placed AS (SELECT *, coalesce(hit_offset, win_start, CASE WHEN unit = '0' THEN 0 END, heading_offset) AS at FROM top),
-marked AS (SELECT p.*, (SELECT max(heading_no) FROM headings h WHERE h.entry_id = p.entry_id AND h.start <= p.at) AS section_no FROM placed p),
+placed AS (SELECT *, coalesce(hit_offset, win_start, CASE WHEN unit = '0' THEN 0 END, heading_offset) AS place FROM top),
+marked AS (SELECT p.*, (SELECT max(heading_no) FROM headings h WHERE h.entry_id = p.entry_id AND h.start <= p.place) AS section_no FROM placed p),
 keyed AS (SELECT *, CASE WHEN section_no IS NULL THEN 'r' || fused_rank ELSE 's' || section_no END AS grp FROM marked),
-merged AS (SELECT workspace, entry_id, grp, min(fused_rank) AS section_rank, arg_min(unit, fused_rank) AS unit, arg_min(at, fused_rank) AS at, min(section_no) AS section_no, round(sum(round(f, 4)), 4) AS fs, round(sum(round(v, 4)), 4) AS vs, round(sum(round(h, 4)), 4) AS hs,
+merged AS (SELECT workspace, entry_id, grp, min(fused_rank) AS section_rank, arg_min(unit, fused_rank) AS unit, arg_min(place, fused_rank) AS place, min(section_no) AS section_no, round(sum(round(f, 4)), 4) AS fs, round(sum(round(v, 4)), 4) AS vs, round(sum(round(h, 4)), 4) AS hs,
   concat_ws('+', CASE WHEN bool_or(score_source = 'fused') THEN 'fused' END, CASE WHEN bool_or(score_source = 'heading') THEN 'heading' END, CASE WHEN bool_or(score_source = 'fts') THEN 'fts' END, CASE WHEN bool_or(score_source = 'vector') THEN 'vector' END) AS score_source,
   (count(*) - 1)::BIGINT AS same_section_hits FROM keyed GROUP BY workspace, entry_id, grp)"""
 
@@ -218,7 +218,7 @@ merged AS (SELECT workspace, entry_id, grp, min(fused_rank) AS section_rank, arg
 @query(f"WITH {ROUTES_SQL}, {FUSE_SQL}, {SECTION_SQL} SELECT workspace, entry_id, section_rank, unit, section_no, fs AS fts_score, vs AS vector_score, hs AS heading_score, round(fs + vs + hs, 4) AS score, score_source, same_section_hits FROM merged")
 def section_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     lib = library(spark, sf_dir)
-    hits = plan(lib, "ntion the", VECTOR, LIMIT).hits
+    hits = plan(lib, "tion the", VECTOR, LIMIT).hits
     at = F.coalesce("hit_offset", "win_start", F.when(F.col("unit") == "0", F.lit(0).cast("bigint")), "heading_offset")
     marked = a.asof_backward(hits.withColumn("at", at), lib.headings.select("entry_id", "start", F.col("heading_no").alias("section_no")), ["entry_id"], "at", ["section_no"])
     return r.by_section(marked)
@@ -227,33 +227,33 @@ def section_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {ROUTES_SQL}, {FUSE_SQL}, {SECTION_SQL},
 anchors AS (SELECT entry_id, heading_no AS no, start FROM headings UNION ALL SELECT entry_id, 0, 0 FROM entries),
 sections AS (SELECT s.entry_id, no, coalesce(lead(start) OVER (PARTITION BY s.entry_id ORDER BY start, no), e.total_chars) - start AS chars FROM anchors s JOIN entries e USING (entry_id))
-SELECT section_rank, m.workspace, m.entry_id, title, unit, m.entry_id || CASE WHEN section_no > 0 THEN '#s' || section_no ELSE '#front' END || '@' || at AS section_ref, chars AS section_chars,
-  (length(text[1:at]) - length(replace(text[1:at], chr(10), '')) + 1)::BIGINT AS line, round(fs + vs + hs, 4) AS score, m.score_source, same_section_hits
+SELECT section_rank, m.workspace, m.entry_id, title, unit, m.entry_id || CASE WHEN section_no > 0 THEN '#s' || section_no ELSE '#front' END || '@' || place AS section_ref, chars AS section_chars,
+  (length(text[1:place]) - length(replace(text[1:place], chr(10), '')) + 1)::BIGINT AS line, round(fs + vs + hs, 4) AS score, m.score_source, same_section_hits
 FROM merged m JOIN entries e USING (entry_id) JOIN sections s ON s.entry_id = m.entry_id AND s.no = coalesce(m.section_no, 0)""")
 def search_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: three routes fused, merged by section, with reference, section length and line."""
     lib = library(spark, sf_dir)
-    return shaped(lib, plan(lib, "ntion the", VECTOR, LIMIT))
+    return shaped(lib, plan(lib, "tion the", VECTOR, LIMIT))
 
 
 @query(f"WITH {ROUTES_SQL}, {FUSE_SQL} SELECT 'vector' AS mode, entry_id, round(1.0::DOUBLE / (60 + route_rank), 4) AS score FROM vector WHERE route_rank <= 20 UNION ALL SELECT 'fts', entry_id, round(1.0::DOUBLE / (60 + route_rank), 4) FROM keyword WHERE route_rank <= 20")
 def route_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same query by the vector route alone and by the keyword route."""
     lib = library(spark, sf_dir)
-    by = lambda mode: plan(lib, "ntion the", VECTOR, LIMIT, mode).hits.select(F.lit(mode).alias("mode"), "entry_id", F.round(F.col("fts_score") + F.col("vector_score"), 4).alias("score"))
+    by = lambda mode: plan(lib, "tion the", VECTOR, LIMIT, mode).hits.select(F.lit(mode).alias("mode"), "entry_id", F.round(F.col("fts_score") + F.col("vector_score"), 4).alias("score"))
     return by("vector").unionByName(by("fts"))
 
 
-@query(f"""WITH {BASE_SQL.replace("FROM entries)", "FROM entries WHERE workspace IN ('fr', 'es'))", 1)}, {keyword_sql(["eaux", "ntion"], ["eaux", "ntion"], anywhere("eaux") + " OR " + anywhere("ntion"))} SELECT workspace, entry_id, route_rank, score FROM keyword""")
+@query(f"""WITH {BASE_SQL.replace("FROM entries)", "FROM entries WHERE workspace IN ('fr', 'es'))", 1)}, {keyword_sql(["eaux", "tion"], ["eaux", "tion"], anywhere("eaux") + " OR " + anywhere("tion"))} SELECT workspace, entry_id, route_rank, score FROM keyword""")
 def cross_workspace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two libraries searched at once, ranked together."""
     rows = m.chunks(spark, sf_dir).where(F.col("workspace").isin("fr", "es"))
-    return r.keyword_route(rows, q.parse("eaux ntion"), LIMIT).select("workspace", "entry_id", "route_rank", "score")
+    return r.keyword_route(rows, q.parse("eaux tion"), LIMIT).select("workspace", "entry_id", "route_rank", "score")
 
 
 @query(f"""WITH {ROUTES_SQL}, {FUSE_SQL} SELECT (SELECT count(*) FROM fused) AS candidates_total, (SELECT count(*) FROM fused) > 20 AS truncated_by_limit, NULL::BIGINT AS filtered_entries, (SELECT count(*) FROM keyword) = 0 AS keyword_miss,
 (SELECT count(*) FROM vectors) AS vectors_rows, (SELECT count(*) FROM vectors) = 0 AS vector_zero_hint""")
 def truncation_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     lib = library(spark, sf_dir)
-    s = plan(lib, "ntion the", VECTOR, LIMIT)
+    s = plan(lib, "tion the", VECTOR, LIMIT)
     return r.envelope(s.candidates, s.keyword, lib.vectors, LIMIT, s.allowed)

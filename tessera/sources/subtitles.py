@@ -21,7 +21,7 @@ def _segment(lines: Column, stamp, keep, clean) -> Column:
     """The segment of a block: cue times on its first line with an arrow, text below it."""
     cue = F.array_position(F.transform(lines, lambda x: x.contains("-->")), True)
     at = F.try_element_at(lines, cue.cast("int"))
-    body = F.filter(F.transform(F.slice(lines, (cue + 1).cast("int"), F.size(lines)), F.trim), keep)
+    body = F.filter(F.transform(F.slice(lines, (cue + 1).cast("int"), F.size(lines)), lambda x: F.trim(x)), keep)
     side = lambda i: timestamp_ms(stamp(F.try_element_at(F.split(at, "-->"), F.lit(i))))
     return F.when(cue > 0, F.struct(side(1).alias("start_ms"), side(2).alias("end_ms"), clean(F.array_join(body, " ")).alias("text")))
 
