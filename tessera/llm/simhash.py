@@ -101,15 +101,14 @@ def trie_links(group: np.ndarray, key: np.ndarray, bits: int, budget: int) -> np
     for allowed in (1, budget) if budget > 1 else (budget,):
         several = lasts - firsts > 1
         a0, a1 = firsts[several], lasts[several]
-        frontier = [(a0, a1, a0, a1, np.zeros(len(a0), np.int64))]
+        frontier = (a0, a1, a0, a1, np.zeros(len(a0), np.int64))
         for level in range(bits - 1, -2, -1):
             todo: list[tuple[np.ndarray, ...]] = []
-            for nodes in frontier:
-                for start in range(0, len(nodes[0]), 1 << 18):
-                    labels = _one_level(key, labels, tuple(x[start : start + (1 << 18)] for x in nodes), level, allowed, todo)
-            frontier = todo
-            if not frontier:
+            for start in range(0, len(frontier[0]), 1 << 18):
+                labels = _one_level(key, labels, tuple(x[start : start + (1 << 18)] for x in frontier), level, allowed, todo)
+            if not todo:
                 break
+            frontier = tuple(map(np.concatenate, zip(*todo, strict=True)))
     return labels
 
 
@@ -248,9 +247,9 @@ def filter_documents(documents: DataFrame, width: int = 4, budget: int = 4) -> D
 
     Of rows that repeat that doc_id one stays.
     """
-    found = near_duplicates(documents, width, budget).select(F.col("doc_id").alias("_id"), "component_id")
-    first = found.where("_id = component_id").groupBy("_id").agg(F.count("*").alias("_rows"))
-    kept = documents.join(first, F.col("doc_id") == F.col("_id"))
-    once = kept.where("_rows = 1").select(documents.columns)
-    again = kept.where("_rows > 1").select(documents.columns).dropDuplicates(["doc_id"])
-    return once.unionByName(again).unionByName(documents.where("doc_id is null"))
+    found = near_duplicates(documents, width, budget).select(F.col("doc_id").alias("id"), "component_id")
+    first = found.where("id = component_id").groupBy("id").agg(F.count("*").alias("rows"))
+    packed = documents.select(F.col("doc_id").alias("id"), F.struct("*").alias("row"))  # no clash with names of the table
+    kept = packed.join(first, "id")
+    once, again = kept.where("rows = 1").select("row.*"), kept.where("rows > 1").dropDuplicates(["id"]).select("row.*")
+    return once.unionByName(again).unionByName(documents.where(F.col("doc_id").isNull()))

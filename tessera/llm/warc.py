@@ -68,9 +68,10 @@ def zip_members(data: memoryview) -> dict[str, tuple[int, int]]:
     """(offset, length) of the bytes of each stored member, from the central directory."""
     tail = bytes(data[-(65_536 + 22) :])
     at = tail.rfind(END)
-    while at >= 0 and len(tail) - at >= 22 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
-        at = tail.rfind(END, 0, at)  # a signature inside the comment
-    if at < 0 or len(tail) - at < 22:
+    whole = lambda at: len(tail) - at >= 22 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] == len(tail)
+    while at >= 0 and not whole(at):  # a signature inside the comment
+        at = tail.rfind(END, 0, at)
+    if at < 0:
         raise ValueError("not a ZIP archive: no end of central directory")
     end = len(data) - len(tail) + at
     *_, count, size, start, _ = struct.unpack_from(END_FIELDS, data, end)
@@ -104,14 +105,14 @@ def warc_record(page_id: int | None, url: str, payload: bytes, digest: str, refe
     """A WARC 1.1 response or revisit record; a revisit holds only the HTTP head."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head if refers_to is not None else head + payload
-    quoted = "".join(c if " " < c else f"%{ord(c):02X}" for c in url)
+    quote = lambda u: "".join(c if " " < c else f"%{ord(c):02X}" for c in u)
     fields = [
         ("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}:{digest}')}>"),
-        ("WARC-Target-URI", quoted), ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Page-ID", "" if page_id is None else str(page_id)),
+        ("WARC-Target-URI", quote(url)), ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Page-ID", "" if page_id is None else str(page_id)),
         ("Content-Type", "application/http;msgtype=response"), ("Content-Length", str(len(block))),
     ]
     if refers_to is not None:
-        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To-Target-URI", refers_url), ("X-Refers-To-Page-ID", str(refers_to)), ("X-Payload-Length", str(len(payload)))]
+        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To-Target-URI", quote(refers_url)), ("X-Refers-To-Page-ID", str(refers_to)), ("X-Payload-Length", str(len(payload)))]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
@@ -126,14 +127,14 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def plan_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """page_id, url, html and refers_to (null for a response) of every page."""
+    """page_id, url, html, and refers_to and refers_url (null for a response) of every page."""
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("mark", F.sha1(F.col("html").cast("binary")))
     large = rows.where(F.octet_length("html") >= min_bytes)
-    first = large.groupBy("mark").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    first = large.groupBy("mark").agg(F.min("page_id").alias("first_id"), F.min_by("url", "page_id").alias("first_url"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     joined = rows.join(first, "mark", "left")
     revisits = (F.octet_length("html") >= min_bytes) & F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return joined.select("page_id", "url", "html", F.when(revisits, F.col("first_id")).alias("refers_to"))
+    return joined.select("page_id", "url", "html", F.when(revisits, F.col("first_id")).alias("refers_to"), F.when(revisits, F.col("first_url")).alias("refers_url"))
 
 
 def pack_archives(planned: DataFrame, archive_bytes: int = 1 << 20, zip64: bool = False) -> DataFrame:
@@ -149,7 +150,7 @@ def pack_archives(planned: DataFrame, archive_bytes: int = 1 << 20, zip64: bool
                 for row in batch.slice(start, 256).to_pylist():
                     payload = row["html"].encode()
                     digest = sha1_base32(payload)
-                    record = warc_record(row["page_id"], row["url"], payload, digest, row["refers_to"], "")
+                    record = warc_record(row["page_id"], row["url"], payload, digest, row["refers_to"], row["refers_url"] or "")
                     index.append(json.dumps({"offset": at, "length": len(record), "digest": f"sha1:{digest}", "filename": MEMBER}))
                     records.append(record)
                     at += len(record)
@@ -159,7 +160,7 @@ def pack_archives(planned: DataFrame, archive_bytes: int = 1 << 20, zip64: bool
         if records:
             yield closed(records, index)
 
-    return planned.select("page_id", "url", "html", "refers_to").mapInArrow(apply, "content binary")
+    return planned.select("page_id", "url", "html", "refers_to", "refers_url").mapInArrow(apply, "content binary")
 
 
 def records_of(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
