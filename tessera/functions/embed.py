@@ -9,6 +9,7 @@ from typing import Protocol
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 BATCH = 16
 
@@ -53,4 +54,4 @@ def embed_column(df: DataFrame, embedder: Embedder, text: str = "body", out: str
             rows = [r for i in range(0, len(texts), BATCH) for r in embedder.embed(texts[i : i + BATCH]).astype(np.float32).tolist()]
             yield pa.record_batch([*batch.columns, pa.array(rows, pa.list_(pa.float32()))], [*names, out])
 
-    return df.mapInArrow(apply, df.schema.add(out, "array<float>"))
+    return df.mapInArrow(apply, T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))]))

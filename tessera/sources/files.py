@@ -1,4 +1,4 @@
-"""Document files as rows: text, HTML, Word, Excel, PowerPoint and EPUB.
+"""Document files as rows: text, Word, Excel, PowerPoint and EPUB.
 
 Files come from Spark's binaryFile source, so any file system Spark reads will do.
 Office files are ZIP archives of XML and are read with the standard library in Arrow
@@ -15,10 +15,10 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import EXTENSIONS, content_type, html_to_text
+from ..functions.text import EXTENSIONS, content_type
 
 CELL_CHARS, NOTE_CHARS = 500, 2000
 EXTRACTED = "text string, pages array<struct<start:bigint,page:bigint>>, chapters array<struct<start:bigint,chapter:bigint,title:string>>, error string"
@@ -36,10 +36,18 @@ def scan(spark: SparkSession, folder: str) -> DataFrame:
     return files.where(wanted).select("path", name.alias("name"), content_type(F.col("path")).alias("kind"), "content").orderBy(F.lower("name"), "name")
 
 
-def decode_text(content: Column) -> Column:
-    """Bytes as text: UTF-8 if valid, else GBK if that round-trips, else Latin-1."""
-    gbk = F.decode(content, "GBK")
-    return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).when(F.encode(gbk, "GBK") == content, gbk).otherwise(F.decode(content, "ISO-8859-1"))
+def decode_text(data: bytes) -> str:
+    """Bytes by the first encoding that takes them all."""
+    for name in ENCODINGS:
+        try:
+            return data.decode(name)
+        except UnicodeDecodeError:
+            continue
+    raise AssertionError("latin-1 takes any bytes")
+
+
+def plain_text(data: bytes) -> Extracted:
+    return decode_text(data), [], []
 
 
 def _local(tag: str) -> str:
@@ -180,7 +188,7 @@ def pdf_text(data: bytes) -> Extracted:
     return "\n".join(texts), pages, []
 
 
-READERS: dict[str, Callable[[bytes], Extracted]] = {"word": word_text, "excel": excel_text, "pptx": slides_text, "epub": epub_text, "pdf": pdf_text}
+READERS: dict[str, Callable[[bytes], Extracted]] = {"text": plain_text, "word": word_text, "excel": excel_text, "pptx": slides_text, "epub": epub_text, "pdf": pdf_text}
 
 
 def extract(files: DataFrame) -> DataFrame:
@@ -199,10 +207,5 @@ def extract(files: DataFrame) -> DataFrame:
             columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["path", "kind", "text", "pages", "chapters", "error"])
 
-    schema = f"path string, kind string, {EXTRACTED}"
-    packed = files.where(F.col("kind").isin(*READERS)).select("path", "kind", "content").mapInArrow(apply, schema)
-    plain = files.where(F.col("kind") == "text")
-    html = F.lower("path").rlike(r"\.x?html?$")
-    text = F.when(html, html_to_text(decode_text(F.col("content")))).otherwise(decode_text(F.col("content")))
-    empty = [F.array().cast(packed.schema[c].dataType).alias(c) for c in ("pages", "chapters")]
-    return packed.unionByName(plain.select("path", "kind", text.alias("text"), *empty, F.lit(None).cast("string").alias("error")))
+    chosen = files.where(F.col("kind").isin(*READERS)).select("path", "kind", "content")
+    return chosen.mapInArrow(apply, f"path string, kind string, {EXTRACTED}")
