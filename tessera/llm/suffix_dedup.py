@@ -58,7 +58,7 @@ ID, TEXT = "doc_id", "text"
 BATCH_COLUMNS = ["batch", "rest", "sizes", "text"]
 WIDTH, GRAM = 50, 20
 SPAN = WIDTH - GRAM + 1
-BATCH_BYTES, SLICE_BYTES, LONGEST_RUN = 8 << 20, 1 << 20, 255
+BATCH_BYTES, SLICE_BYTES, LONGEST_RUN = 4 << 20, 1 << 19, 255
 LOW56, LOW48 = np.uint64((1 << 56) - 1), np.uint64((1 << 48) - 1)
 C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BYTE_HASH = np.random.default_rng(50).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -418,7 +418,7 @@ def removed_bytes(batch: Batch, results: list[dict]) -> np.ndarray:
             hit = begin[i] + np.flatnonzero(doc[i] > np.minimum(each[int(of[i])], low[of[i]]))
             np.add.at(gone, hit, 1)
             np.add.at(gone, hit + WIDTH, -1)
-    return np.cumsum(gone[:-1]) > 0
+    return np.cumsum(gone, out=gone)[:-1] > 0
 
 
 def _left(batch: Batch, gone: np.ndarray) -> tuple[list[bytes], np.ndarray]:
