@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 CHUNK_CHARS, CHUNK_OVERLAP = 40_000, 300
 WINDOW_CHARS, WINDOW_OVERLAP = 800, 100
-SLICE_CHARS = 262_144
 BLANK = re.compile(r"\n\s*\n")
 #: The characters that end a sentence.
 STOP = re.compile("[。！？.!?\n]")

@@ -298,3 +298,12 @@ def uri_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     link = t.link_fields(uri, "tessera")
     return m.table(spark, sf_dir, "documents").select("doc_id", link["action"].alias("action"), link["workspace"].alias("workspace"), link["entry"].alias("entry"), link["at"].alias("play_at"))
+
+
+@query("""SELECT conv_id, turn, 'tessera://goto?ws=talks%20' || conv_id || '&entry=' || left(sha256(text), 16) || CASE WHEN turn % 2 = 0 THEN '&at=' || (turn * 10) ELSE '' END AS link,
+CASE WHEN turn % 2 = 0 THEN (CASE WHEN turn * 10 >= 3600 THEN (turn * 10 // 3600) || ':' || lpad((turn * 10 % 3600 // 60)::VARCHAR, 2, '0') ELSE (turn * 10 // 60)::VARCHAR END) || ':' || lpad((turn * 10 % 60)::VARCHAR, 2, '0') ELSE 'page ' || turn END AS label FROM conversations WHERE text IS NOT NULL""")
+def locators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links to turns: by time for even ones, by page for odd ones."""
+    timed = F.when(F.col("turn") % 2 == 0, F.col("start_ms"))
+    where = t.locator("tessera", F.concat(F.lit("talks "), "conv_id"), t.entry_id(F.col("text")), timed, F.lit("page"), F.col("turn"))
+    return m.segments(spark, sf_dir).select("conv_id", "turn", where["link"].alias("link"), where["label"].alias("label"))

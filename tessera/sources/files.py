@@ -12,6 +12,7 @@ import posixpath
 import re
 import zipfile
 from collections.abc import Callable, Iterator
+from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -143,10 +144,45 @@ def slides_text(data: bytes) -> Extracted:
     return "\n".join(out), [], []
 
 
+class _Lines(HTMLParser):
+    """Collects the text lines of a page, headings with # by level; entities stay as written."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=False)
+        self.parts: list[str] = []
+        self.heading = False
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if re.fullmatch("h[1-6]", tag):
+            self.heading = True
+            self.parts.append(f"\n{'#' * int(tag[1])} ")
+        elif not self.heading:
+            self.parts.append(" ")
+
+    def handle_endtag(self, tag: str) -> None:
+        if re.fullmatch("h[1-6]", tag):
+            self.heading = False
+            self.parts.append("\n")
+        elif not self.heading:
+            self.parts.append(" ")
+
+    def handle_data(self, data: str) -> None:
+        self.parts.append(data)
+
+    def handle_entityref(self, name: str) -> None:
+        self.parts.append(f"&{name};")
+
+    def handle_charref(self, name: str) -> None:
+        self.parts.append(f"&#{name};")
+
+
 def _html_lines(html: str) -> str:
     """As ``functions.text.html_to_text``, for XHTML inside an archive."""
-    marked = re.sub(r"(?is)<h([1-6])\b[^>]*>(.*?)</h\1\s*>", lambda m: f"\n\n{'#' * int(m[1])} {re.sub('<[^>]+>', '', m[2]).strip()}\n\n", html)
-    return "\n".join(x for x in (re.sub(r"[^\S\n]+", " ", y).strip() for y in re.sub(r"<[^>]+>", " ", marked).split("\n")) if x)
+    page = _Lines()
+    page.feed(html)
+    page.close()
+    rows = (" ".join(row.split()) for row in "".join(page.parts).split("\n"))
+    return "\n".join(filter(None, rows))
 
 
 def epub_text(data: bytes) -> Extracted:

@@ -66,3 +66,27 @@ def test_life_of_a_library(spark, tmp_path):
     assert store.names() == ["notes", "shelf"]
     store.delete("shelf", confirm=True)
     assert store.names() == ["notes"] and store.table("entries").count() == 1
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import json
+
+    from tessera.__main__ import _parser, main, run
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.md").write_text("# Head\nalpha topic words")
+    (tmp_path / "in" / "b.docx").write_bytes(b"broken")
+    root = ["--root", f"file://{tmp_path}/lib"]
+    store = Store(spark, root[1])
+    done = run(_parser().parse_args([*root, "ingest", "notes", str(tmp_path / "in")]), store)
+    assert done["refused"] == [] and len(done["unreadable"]) == 1
+    hits = run(_parser().parse_args([*root, "search", "alpha topic"]), store)["hits"]
+    assert hits[0]["title"] == "Head" and run(_parser().parse_args([*root, "section", hits[0]["section_ref"]]), store)["found"][0]["content"].startswith("# Head")
+    assert main([*root, "--lang", "zh", "search", "alpha", "--workspace", "none"]) == 1
+    said = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert said["code"] == "workspace_not_found" and said["error"] == said["error_i18n"]["zh"]
+    assert main([*root, "search", "publish_date>=2020"]) == 1
+    assert json.loads(capsys.readouterr().out.strip().splitlines()[-1])["code"] == "range_only"
+    with pytest.raises(SystemExit) as e:
+        main([*root, "nothing"])
+    assert e.value.code == 2
