@@ -8,7 +8,8 @@ each (block, value) is a bucket. The fingerprints of a bucket are sorted, which
 makes each trie node a range of rows. Pairs of nodes are traversed together, level
 by level and for all buckets of a task at once: a pair splits into the pairs of
 its children, a pair of unlike children has one more differing bit, and a pair
-over the budget is dropped. Nodes whose fingerprints are all linked with each
+over the budget is dropped. With very many fingerprints there are more blocks, and
+more of them must agree, so that buckets stay small. Nodes whose fingerprints are all linked with each
 other already are dropped too, so a dense group costs about its size and not its
 square. A task returns a spanning forest of the links it found, at most one edge
 per row; the components come from distributed star contraction of these edges.
@@ -23,11 +24,12 @@ group; an empty table gives an empty result; extra columns are ignored by
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import discard, materialise
@@ -35,6 +37,7 @@ from ..session import discard, materialise
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 SEED = 42
 BITS = 64
+BUCKET_ROWS = 4096
 
 
 def shingle_hashes(text: bytes, width: int = 4) -> np.ndarray:
@@ -169,32 +172,55 @@ def _middles(key, lo, hi, level):
     return lo
 
 
-def blocks(budget: int) -> list[tuple[int, int]]:
-    """(shift, width) of the budget + 1 blocks the 64 bits are cut into."""
-    cuts = np.linspace(0, BITS, budget + 2).round().astype(int).tolist()
+def blocks(n: int) -> list[tuple[int, int]]:
+    """(shift, width) of ``n`` blocks the 64 bits are cut into."""
+    cuts = np.linspace(0, BITS, n + 1).round().astype(int).tolist()
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def link_edges(distinct: DataFrame, budget: int = 4) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints that connect all linked ones: a forest per task."""
-    cuts = blocks(budget)
-    value = lambda s, w: F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1))
-    keyed = distinct.select("fp", F.posexplode(F.array(*[value(s, w) for s, w in cuts])).alias("block", "value"))
-    dealt = keyed.repartition("block", "value")
+def spare_blocks(n: int, budget: int) -> int:
+    """How many blocks beyond one must agree, so that buckets of ``n`` fingerprints stay small."""
+    spare = 0
+    while spare < 3 and n >> ((1 + spare) * (BITS // (budget + 1 + spare))) > BUCKET_ROWS:
+        spare += 1
+    return spare
+
+
+def link_edges(distinct: DataFrame, budget: int = 4, spare: int = 0) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints that connect all linked ones: a forest per task.
+
+    The bits are cut into budget + 1 + spare blocks. Linked fingerprints agree in
+    1 + spare of them at least; each choice of so many blocks deals all rows out
+    once, by the bits of the chosen blocks, and the tries branch on the others.
+    """
+    cuts = blocks(budget + 1 + spare)
+    chosen = list(combinations(range(len(cuts)), 1 + spare))
+
+    def value(which: tuple[int, ...]) -> Column:
+        out = F.lit(0).cast("bigint")
+        for i in which:
+            shift, width = cuts[i]
+            out = F.shiftleft(out, width).bitwiseOR(F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1)))
+        return out
+
+    keyed = distinct.select("fp", F.posexplode(F.array(*map(value, chosen))).alias("choice", "value"))
+    dealt = keyed.repartition("choice", "value")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches]
         if not parts:
             return
-        fp, block, bucket = (np.concatenate(x) for x in zip(*parts, strict=True))
+        fp, choice, bucket = (np.concatenate(x) for x in zip(*parts, strict=True))
         fp = fp.view(np.uint64)
-        for which, (shift, width) in enumerate(cuts):
-            own, at = fp[block == which], bucket[block == which]
-            low = own & np.uint64((1 << shift) - 1)
-            high = own >> np.uint64(shift + width) if shift + width < BITS else np.zeros_like(own)
-            rest = (high << np.uint64(shift)) | low
+        for number, which in enumerate(chosen):
+            own, at = fp[choice == number], bucket[choice == number]
+            rest, bits = np.zeros_like(own), 0
+            for i, (shift, width) in enumerate(cuts):
+                if i not in which:
+                    rest = (rest << np.uint64(width)) | ((own >> np.uint64(shift)) & np.uint64((1 << width) - 1))
+                    bits += width
             order = np.lexsort((rest, at))
-            labels = trie_links(at[order], rest[order], BITS - width, budget)
+            labels = trie_links(at[order], rest[order], bits, budget)
             linked = np.flatnonzero(labels != np.arange(len(labels)))
             a, b = own[order][labels[linked]].view(np.int64), own[order][linked].view(np.int64)
             if len(a):
@@ -234,7 +260,7 @@ def near_duplicates(documents: DataFrame, width: int = 4, budget: int = 4) -> Da
     """doc_id, fp (signed long) and component_id (smallest doc_id reachable over links)."""
     prints = materialise(fingerprints(documents, width), "fingerprints")
     nodes = materialise(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
-    links = connected(link_edges(nodes.select("fp"), budget))
+    links = connected(link_edges(nodes.select("fp"), budget, spare_blocks(nodes.count(), budget)))
     rooted = nodes.join(links, nodes.fp == links.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     classes = rooted.join(lowest, "root").select("fp", "component_id")

@@ -224,6 +224,31 @@ def test_trie_links_brute_force(spread):
     assert len({*zip(labels.tolist(), brute_components(prints), strict=True)}) == len(set(labels.tolist())) == len(set(brute_components(prints)))
 
 
+@pytest.mark.parametrize("spare", [0, 1, 2])
+def test_more_blocks_lose_no_link(spark, spare):
+    rnd = random.Random(9)
+    prints = {rnd.getrandbits(64) for _ in range(40)}
+    for p in sorted(prints):
+        for _ in range(4):
+            for _ in range(rnd.randint(1, 5)):
+                p ^= 1 << rnd.randrange(64)
+            prints.add(p)
+    prints = sorted(prints)
+    rows = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fp long")
+    label = {p: p for p in prints}
+
+    def root(p):
+        while label[p] != p:
+            p = label[p]
+        return p
+
+    for e in simhash.link_edges(rows, 4, spare).collect():
+        label[root(e.a % 2**64)] = root(e.b % 2**64)
+    expected = brute_components(prints)
+    assert len({(root(p), g) for p, g in zip(prints, expected, strict=True)}) == len(set(expected)) == len({root(p) for p in prints})
+    assert [simhash.spare_blocks(n, 4) for n in (10**6, 10**9, 10**11)] == [0, 1, 2]
+
+
 def test_simhash_brute_force(docs, rows):
     import xxhash
 
