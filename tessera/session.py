@@ -33,8 +33,9 @@ def shared_dir(spark: SparkSession) -> str:
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = f"file://{tempfile.gettempdir()}/tessera-shared"
-        spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
