@@ -164,6 +164,14 @@ class Batch:
         return tuple(map(np.concatenate, zip(*found, strict=True))) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
+def _each(source: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The rows one at a time: a packed row is some MB, and memory goes back after each."""
+    for rows in source:
+        for i in range(rows.num_rows):
+            yield rows.slice(i, 1).to_pylist()[0]
+            pa.default_memory_pool().release_unused()
+
+
 def _zip(data: bytes) -> bytes:
     return len(data).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(data, asbytes=True)
 
@@ -246,22 +254,21 @@ def _classes(bits: int):
     """Step 2: the distinct phrases of each batch, by bucket of triggers."""
 
     def apply(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in source:
-            for row in rows.to_pylist():
-                batch = Batch(row)
-                _, windows, trigger, mark, at = batch.parse()
-                doc = batch.ids[at]
-                order = np.lexsort((mark, trigger))
-                first = _by_key(order, trigger, mark)
-                if not len(first):
-                    continue
-                doc = doc[order]
-                low, high = np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first)
-                t, h, w = trigger[order][first], mark[order][first], windows[order][first]
-                bucket = (t >> np.uint64(56 - bits)).astype(np.int64)
-                cuts = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket)]
-                blobs = [pack_columns((t[a:b], 8), (h[a:b], 6), (w[a:b], 1), (low[a:b], 8), ((low != high)[a:b].astype(np.int64), 1)) for a, b in zip(cuts, cuts[1:], strict=False)]
-                yield pa.record_batch([pa.array(bucket[cuts[:-1]]), pa.array(np.full(len(blobs), batch.number, np.int64)), pa.array(blobs, pa.binary())], ["bucket", "batch", "found"])
+        for row in _each(source):
+            batch = Batch(row)
+            _, windows, trigger, mark, at = batch.parse()
+            doc = batch.ids[at]
+            order = np.lexsort((mark, trigger))
+            first = _by_key(order, trigger, mark)
+            if not len(first):
+                continue
+            doc = doc[order]
+            low, high = np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first)
+            t, h, w = trigger[order][first], mark[order][first], windows[order][first]
+            bucket = (t >> np.uint64(56 - bits)).astype(np.int64)
+            cuts = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket)]
+            blobs = [pack_columns((t[a:b], 8), (h[a:b], 6), (w[a:b], 1), (low[a:b], 8), ((low != high)[a:b].astype(np.int64), 1)) for a, b in zip(cuts, cuts[1:], strict=False)]
+            yield pa.record_batch([pa.array(bucket[cuts[:-1]]), pa.array(np.full(len(blobs), batch.number, np.int64)), pa.array(blobs, pa.binary())], ["bucket", "batch", "found"])
 
     return apply
 
@@ -307,20 +314,19 @@ def _mark_of(t: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 def _texts(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Step 3: the texts of the phrases that buckets ask a batch for."""
-    for rows in source:
-        for row in rows.to_pylist():
-            batch = Batch(row)
-            begin, windows, trigger, mark, _ = batch.parse()
-            key = _mark_of(trigger, mark)
-            order = np.argsort(key, kind="stable")
-            out = []
-            for ask in row["asked"]:
-                t, h = unpack_columns(ask["found"], 8, 6)
-                at = order[np.searchsorted(key, _mark_of(t, h), sorter=order)]
-                pieces = [self_bytes(batch.data, begin[i], windows[i]) for i in at]
-                out.append((ask["bucket"], pack_columns((t, 8), (h, 6), (windows[at], 1)), _zip(b"".join(pieces))))
-            buckets, heads, texts = zip(*out, strict=True)
-            yield pa.record_batch([pa.array(buckets, pa.int64()), pa.array(heads, pa.binary()), pa.array(texts, pa.binary())], ["bucket", "heads", "texts"])
+    for row in _each(source):
+        batch = Batch(row)
+        begin, windows, trigger, mark, _ = batch.parse()
+        key = _mark_of(trigger, mark)
+        order = np.argsort(key, kind="stable")
+        out = []
+        for ask in row["asked"]:
+            t, h = unpack_columns(ask["found"], 8, 6)
+            at = order[np.searchsorted(key, _mark_of(t, h), sorter=order)]
+            pieces = [self_bytes(batch.data, begin[i], windows[i]) for i in at]
+            out.append((ask["bucket"], pack_columns((t, 8), (h, 6), (windows[at], 1)), _zip(b"".join(pieces))))
+        buckets, heads, texts = zip(*out, strict=True)
+        yield pa.record_batch([pa.array(buckets, pa.int64()), pa.array(heads, pa.binary()), pa.array(texts, pa.binary())], ["bucket", "heads", "texts"])
 
 
 def self_bytes(data: np.ndarray, begin: int, windows: int) -> bytes:
@@ -435,26 +441,24 @@ def _left(batch: Batch, gone: np.ndarray) -> tuple[list[bytes], np.ndarray]:
 
 def _digests(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Step 4: what was removed of each document, and the digest of what is left."""
-    for rows in source:
-        for row in rows.to_pylist():
-            batch = Batch(row)
-            left, spans = _left(batch, removed_bytes(batch, row["results"] or []))
-            removed = batch.sizes - np.array([len(x) for x in left], np.int64)
-            kept = pa.array([hashlib.sha256(x).hexdigest() for x in left], pa.string())
-            yield pa.record_batch([batch.rest.column(ID).combine_chunks(), pa.array(batch.sizes), pa.array(removed), pa.array(spans, pa.int64()), kept], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+    for row in _each(source):
+        batch = Batch(row)
+        left, spans = _left(batch, removed_bytes(batch, row["results"] or []))
+        removed = batch.sizes - np.array([len(x) for x in left], np.int64)
+        kept = pa.array([hashlib.sha256(x).hexdigest() for x in left], pa.string())
+        yield pa.record_batch([batch.rest.column(ID).combine_chunks(), pa.array(batch.sizes), pa.array(removed), pa.array(spans, pa.int64()), kept], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 def _cut_texts(names: list[str], nulls: str):
     """Step 4: the documents with what is left of their texts; a cut character goes as a whole."""
 
     def apply(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in source:
-            for row in rows.to_pylist():
-                batch = Batch(row)
-                left, _ = _left(batch, removed_bytes(batch, row["results"] or []))
-                null = batch.rest.column(nulls).to_pylist()
-                texts = pa.array([None if n else x.decode("utf-8", "ignore") for x, n in zip(left, null, strict=True)], pa.string())
-                yield pa.record_batch([texts if n == TEXT else batch.rest.column(n).combine_chunks() for n in names], names)
+        for row in _each(source):
+            batch = Batch(row)
+            left, _ = _left(batch, removed_bytes(batch, row["results"] or []))
+            null = batch.rest.column(nulls).to_pylist()
+            texts = pa.array([None if n else x.decode("utf-8", "ignore") for x, n in zip(left, null, strict=True)], pa.string())
+            yield pa.record_batch([texts if n == TEXT else batch.rest.column(n).combine_chunks() for n in names], names)
 
     return apply
 
