@@ -99,11 +99,18 @@ def license_matches(text: Column, threshold: float = THRESHOLD, templates: list[
     bounds = [size_bounds(len(b), threshold) for _, b in shaped]
     known = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(len(b)).alias("n"), F.array(*map(F.lit, b)).alias("bigrams")) for name, b in shaped])
     least, most = min(a for a, _ in bounds), max(b for _, b in bounds)
-    lines = F.split(text, "\n")
-    units = F.when(F.size(lines) > 1, F.array_append(lines, text)).otherwise(lines)
-    words = F.transform(units, lambda u: F.split(normalised(u), " "))
-    fitting = F.filter(words, lambda w: (F.size(w) - 1).between(F.lit(least), F.lit(most)))
-    cut = F.transform(fitting, numbered_bigrams)
+    fits = lambda n: (n - 1).between(F.lit(least), F.lit(most))
+
+    def fitting(lines: Column) -> Column:
+        """Of the words of each line, those within the bounds, and the whole text's if they are."""
+        sizes = F.transform(lines, lambda w: F.size(w))
+        total = F.aggregate(sizes, F.lit(0), lambda a, n: a + n)
+        whole = F.when(fits(total) & (F.size(lines) > 1), F.array(F.flatten(lines))).otherwise(F.array().cast("array<array<string>>"))
+        return F.concat(F.filter(lines, lambda w: fits(F.size(w))), whole)
+
+    # each line is normalised once; the one-element array only gives its words a name
+    words = F.transform(F.split(text, "\n"), lambda u: F.array_remove(F.split(normalised(u), " "), ""))
+    cut = F.transform(F.flatten(F.transform(F.array(words), fitting)), numbered_bigrams)
 
     def compared(unit: Column) -> Column:
         near = F.filter(known, lambda t: F.size(unit).between(t["n"] * threshold / (2 - threshold), t["n"] * (2 - threshold) / threshold))
