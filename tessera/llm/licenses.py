@@ -88,9 +88,9 @@ def normalised(text: Column) -> Column:
 def numbered_bigrams(words: Column) -> Column:
     """The bigrams of an array of two words or more, each with its occurrence number."""
     pairs = F.transform(F.slice(words, 1, F.size(words) - 1), lambda w, i: F.concat(w, F.lit(" "), F.element_at(words, i + 2)))
-    return F.element_at(
-        F.transform(F.array(pairs), lambda p: F.transform(p, lambda x, i: F.concat(x, F.lit(" "), F.size(F.filter(F.slice(p, 1, i + 1), lambda y: y == x)).cast("string")))), 1
-    )
+    # sorted, equal ones stand together: the number is the distance from the first of them
+    number = lambda p: F.transform(p, lambda x, i: F.concat(x, F.lit(" "), (i + 2 - F.array_position(p, x)).cast("string")))
+    return F.element_at(F.transform(F.array(F.sort_array(pairs)), number), 1)
 
 
 def license_matches(text: Column, threshold: float = THRESHOLD, templates: list[tuple[str, str]] | None = None) -> Column:
