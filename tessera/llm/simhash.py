@@ -260,7 +260,11 @@ def near_duplicates(documents: DataFrame, width: int = 4, budget: int = 4) -> Da
     """doc_id, fp (signed long) and component_id (smallest doc_id reachable over links)."""
     prints = materialise(fingerprints(documents, width), "fingerprints")
     nodes = materialise(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
-    links = connected(link_edges(nodes.select("fp"), budget, spare_blocks(nodes.count(), budget)))
+    return grouped(prints, nodes, connected(link_edges(nodes.select("fp"), budget, spare_blocks(nodes.count(), budget))))
+
+
+def grouped(prints: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """doc_id, fp and component_id of ``prints`` from the roots of linked nodes."""
     rooted = nodes.join(links, nodes.fp == links.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     classes = rooted.join(lowest, "root").select("fp", "component_id")
@@ -273,7 +277,12 @@ def filter_documents(documents: DataFrame, width: int = 4, budget: int = 4) -> D
 
     Of rows that repeat that doc_id one stays.
     """
-    found = near_duplicates(documents, width, budget).select(F.col("doc_id").alias("id"), "component_id")
+    return keep_first(documents, near_duplicates(documents, width, budget))
+
+
+def keep_first(documents: DataFrame, groups: DataFrame) -> DataFrame:
+    """The row of each group with the smallest doc_id, and all rows without doc_id."""
+    found = groups.select(F.col("doc_id").alias("id"), "component_id")
     first = found.where("id = component_id").groupBy("id").agg(F.count("*").alias("rows"))
     packed = documents.select(F.col("doc_id").alias("id"), F.struct("*").alias("row"))  # no clash with names of the table
     kept = packed.join(first, "id")
