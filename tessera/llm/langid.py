@@ -13,7 +13,7 @@ Defined results for odd input: a null text, or one without any letter, is
 ``und`` with score 0; a null doc_id is carried through and never used to learn;
 repeated rows are judged one by one; extra columns are ignored by
 ``identify_documents`` and kept by ``filter_documents``. Without any labelled row
-every text is ``und``. Ties go to the language that sorts first.
+every text is ``und``, and ``filter_documents`` keeps those with a letter. Ties go to the language that sorts first.
 """
 
 from __future__ import annotations
@@ -151,12 +151,16 @@ def identify_documents(documents: DataFrame, model: LanguageModel | None) -> Dat
 
 
 def filter_documents(documents: DataFrame, model: LanguageModel | None, min_score: float = 0.3) -> DataFrame:
-    """Documents whose language is recognised with at least ``min_score``, all columns as they are."""
+    """Documents whose language is recognised with at least ``min_score``, all columns as they are.
+
+    Without a model no language can be told, and documents with a letter are kept.
+    """
     at = documents.columns.index("text")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(batches):
-            _, scores = identify(batch.column(at).to_pylist(), model)
-            yield batch.filter(pa.array([s >= min_score for s in scores], pa.bool_()))
+            texts = batch.column(at).to_pylist()
+            good = [s >= min_score for s in identify(texts, model)[1]] if model else [any(map(str.isalpha, t or "")) for t in texts]
+            yield batch.filter(pa.array(good, pa.bool_()))
 
     return documents.mapInArrow(apply, documents.schema)
