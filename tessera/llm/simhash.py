@@ -33,11 +33,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import discard, materialise
+from .skew import join_groups
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 SEED = 42
 BITS = 64
 BUCKET_ROWS = 4096
+#: Fingerprints of a bucket that is dealt out once more, and rows a task should get.
+HOT_BUCKET, TASK_ROWS = 1 << 17, 1 << 21
+SALTS = 16
 
 
 def shingle_hashes(text: bytes, width: int = 4) -> np.ndarray:
@@ -56,7 +60,11 @@ def shingle_hashes(text: bytes, width: int = 4) -> np.ndarray:
 
 def fingerprint(text: bytes, width: int = 4) -> int:
     """The 64-bit fingerprint; 0 for a text without words."""
-    h = shingle_hashes(text, width)
+    return majority_bits(shingle_hashes(text, width))
+
+
+def majority_bits(h: np.ndarray) -> int:
+    """A bit is set if it is set in over half of the hashes; 0 without any."""
     ones = np.zeros(BITS, np.int64)
     for part in range(0, len(h), 4096):
         ones += np.unpackbits(h[part : part + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -186,49 +194,100 @@ def spare_blocks(n: int, budget: int) -> int:
     return spare
 
 
-def link_edges(distinct: DataFrame, budget: int = 4, spare: int = 0) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints that connect all linked ones: a forest per task.
+def _block(which: tuple[int, ...], cuts: list[tuple[int, int]]) -> Column:
+    """The bits of ``fp`` in the chosen blocks, as one number."""
+    out = F.lit(0).cast("bigint")
+    for i in which:
+        shift, width = cuts[i]
+        out = F.shiftleft(out, width).bitwiseOR(F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1)))
+    return out
+
+
+def link_edges(distinct: DataFrame, budget: int = 4, spare: int = 0, n: int | None = None) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints that connect all linked ones: a forest per bucket.
 
     The bits are cut into budget + 1 + spare blocks. Linked fingerprints agree in
     1 + spare of them at least; each choice of so many blocks deals all rows out
     once, by the bits of the chosen blocks, and the tries branch on the others.
+    A bucket of more than ``HOT_BUCKET`` fingerprints is dealt out once more, by
+    blocks of its other bits, of which linked ones agree in one at least. Rows come
+    sorted by bucket, so a task holds few buckets at a time, whatever its share is.
     """
     cuts = blocks(budget + 1 + spare)
     chosen = list(combinations(range(len(cuts)), 1 + spare))
-
-    def value(which: tuple[int, ...]) -> Column:
-        out = F.lit(0).cast("bigint")
-        for i in which:
+    keyed = distinct.select("fp", F.posexplode(F.array(*(_block(which, cuts) for which in chosen))).alias("choice", "value"))
+    hot = materialise(keyed.groupBy("choice", "value").count().where(F.col("count") > HOT_BUCKET).select("choice", "value"), "hot-buckets")
+    no_sub = [F.lit(-1).alias("sub"), F.lit(0).cast("bigint").alias("sub_value")]
+    subs = [[i for i in range(len(cuts)) if i not in which] for which in chosen]
+    if hot.isEmpty():
+        dealt = keyed.select("fp", "choice", "value", *no_sub)
+    else:
+        parts = F.element_at(F.array(*(F.array(*(_block((i,), _halves(cuts, rest, budget)) for i in range(budget + 1))) for rest in subs)), F.col("choice") + 1)
+        again = keyed.join(hot, ["choice", "value"], "left_semi").select("fp", "choice", "value", F.posexplode(parts).alias("sub", "sub_value"))
+        dealt = keyed.join(hot, ["choice", "value"], "left_anti").select("fp", "choice", "value", *no_sub).unionByName(again)
+    n = distinct.count() if n is None else n
+    tasks = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * len(chosen) // TASK_ROWS)
+    keys = ["choice", "value", "sub", "sub_value"]
+    dealt = dealt.select(*keys, "fp").repartition(tasks, *keys).sortWithinPartitions(*keys)
+
+    def edges(choice: np.ndarray, *rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The forest of whole buckets of one choice."""
+        value, sub, sub_value, fp = rest
+        key, bits = np.zeros_like(fp), 0
+        for i in subs[int(choice[0])]:
             shift, width = cuts[i]
-            out = F.shiftleft(out, width).bitwiseOR(F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1)))
-        return out
-
-    keyed = distinct.select("fp", F.posexplode(F.array(*map(value, chosen))).alias("choice", "value"))
-    dealt = keyed.repartition("choice", "value")
+            key = (key << np.uint64(width)) | ((fp >> np.uint64(shift)) & np.uint64((1 << width) - 1))
+            bits += width
+        new = np.r_[True, (value[1:] != value[:-1]) | (sub[1:] != sub[:-1]) | (sub_value[1:] != sub_value[:-1])]
+        group = np.cumsum(new)
+        order = np.lexsort((key, group))
+        labels = trie_links(group[order], key[order], bits, budget)
+        linked = np.flatnonzero(labels != np.arange(len(labels)))
+        return fp[order][labels[linked]].view(np.int64), fp[order][linked].view(np.int64)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches]
-        if not parts:
-            return
-        fp, choice, bucket = (np.concatenate(x) for x in zip(*parts, strict=True))
-        fp = fp.view(np.uint64)
-        for number, which in enumerate(chosen):
-            own, at = fp[choice == number], bucket[choice == number]
-            rest, bits = np.zeros_like(own), 0
-            for i, (shift, width) in enumerate(cuts):
-                if i not in which:
-                    rest = (rest << np.uint64(width)) | ((own >> np.uint64(shift)) & np.uint64((1 << width) - 1))
-                    bits += width
-            order = np.lexsort((rest, at))
-            labels = trie_links(at[order], rest[order], bits, budget)
-            linked = np.flatnonzero(labels != np.arange(len(labels)))
-            a, b = own[order][labels[linked]].view(np.int64), own[order][linked].view(np.int64)
-            if len(a):
-                yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
+        for columns in whole_buckets(batches, len(keys)):
+            columns[-1] = columns[-1].view(np.uint64)
+            ends = np.r_[np.flatnonzero(np.r_[True, columns[0][1:] != columns[0][:-1]]), len(columns[0])]
+            for start, stop in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                a, b = edges(*(c[start:stop] for c in columns))
+                if len(a):
+                    yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
 
     return dealt.mapInArrow(apply, "a long, b long")
 
 
+def _halves(cuts: list[tuple[int, int]], rest: list[int], budget: int) -> list[tuple[int, int]]:
+    """``budget`` + 1 disjoint blocks inside the blocks ``rest``: an unlike bit spoils one of them at most."""
+    pieces = [cuts[i] for i in rest]
+    while len(pieces) < budget + 1:
+        pieces.sort(key=lambda p: p[1])
+        shift, width = pieces.pop()
+        pieces += [(shift, width // 2), (shift + width // 2, width - width // 2)]
+    return pieces[: budget + 1]
+
+
+def whole_buckets(batches: Iterator[pa.RecordBatch], keys: int = 1) -> Iterator[list[np.ndarray]]:
+    """The columns of whole buckets; rows come sorted by the first ``keys`` columns. List columns become matrices."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = [c.flatten().to_numpy().reshape(len(c), -1) if pa.types.is_list(c.type) else c.to_numpy() for c in batch.columns]
+        same = np.logical_and.reduce([c == c[-1] for c in new[:keys]])
+        cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+        if held and any(h[-1] != c[0] for h, c in zip(held[-1][:keys], new[:keys], strict=True)):
+            yield [np.concatenate(c) for c in zip(*held, strict=True)]
+            held = []
+        if cut:
+            held.append([c[:cut] for c in new])
+            yield [np.concatenate(c) for c in zip(*held, strict=True)]
+            held = []
+        held.append([c[cut:] for c in new])
+    if held:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
 def connected(edges: DataFrame, name: str = "links") -> DataFrame:
     """(node, root) for every node of the edges, root being its component's smallest node.
 
@@ -259,16 +318,23 @@ def connected(edges: DataFrame, name: str = "links") -> DataFrame:
 def near_duplicates(documents: DataFrame, width: int = 4, budget: int = 4) -> DataFrame:
     """doc_id, fp (signed long) and component_id (smallest doc_id reachable over links)."""
     prints = materialise(fingerprints(documents, width), "fingerprints")
-    nodes = materialise(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
-    return grouped(prints, nodes, connected(link_edges(nodes.select("fp"), budget, spare_blocks(nodes.count(), budget))))
+    nodes = materialise(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies")), "nodes")
+    n = nodes.count()
+    return grouped(prints, nodes, connected(link_edges(nodes.select("fp"), budget, spare_blocks(n, budget), n)))
 
 
 def grouped(prints: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """doc_id, fp and component_id of ``prints`` from the roots of linked nodes."""
-    rooted = nodes.join(links, nodes.fp == links.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = rooted.join(lowest, "root").select("fp", "component_id")
-    found = prints.join(classes, "fp", "left")
+    """doc_id, fp and component_id of ``prints`` from the roots of linked nodes (fp, low, copies).
+
+    A component may hold most nodes and a node most rows: nodes find the lowest id of
+    their root over ``SALTS`` copies of it, rows find their node as ``join_groups`` does.
+    """
+    rooted = nodes.join(links, nodes.fp == links.node, "left").select("fp", "low", "copies", F.coalesce("root", "fp").alias("root"))
+    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("many")).where("many > 1")
+    salted = lowest.select("root", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    classes = rooted.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(salted, ["root", "salt"], "left")
+    classes = materialise(classes.select("fp", "copies", F.coalesce("component_id", "low").alias("component_id")), "classes")
+    found = join_groups(prints, classes, "fp", prints.count())
     return found.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
