@@ -10,10 +10,13 @@ Positions inside a bucket come without sorting it in one task: rows are dealt ou
 by a hash into many slots of each bucket, the small table of slot sizes is summed
 up, and a row's position is the sum before its slot plus its place in the slot.
 
+Words are the measure of bounds, budget and padding alike: a text without spaces is one
+word however long it is. ``lengths_of`` is the place to count otherwise.
+
 Defined results for odd input: null and empty texts have length 0 and are packed
 like any other; a text over the budget makes a batch of its own; a null doc_id is
 packed too; repeated rows are packed one by one; an empty table gives an empty
-result; only doc_id and text are read. The histogram has at most as many rows as
+result; texts of any length are counted whole; only doc_id and text are read. The histogram has at most as many rows as
 the longest text has words.
 """
 
@@ -88,7 +91,8 @@ def lengths_of(documents: DataFrame) -> DataFrame:
                 words += [len(t.split()) if t else 0 for t in batch.column(1).slice(start, 256).cast(pa.large_binary()).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(words, pa.int64()), batch.column(2)], ["doc_id", "length", "mixed"])
 
-    chosen = documents.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("mixed"))
+    # a number for each row, so that repeated rows are dealt out like any others; the result is written before it is used
+    chosen = documents.select("doc_id", "text", F.xxhash64("doc_id", F.monotonically_increasing_id()).alias("mixed"))
     return chosen.mapInArrow(apply, "doc_id long, length long, mixed long")
 
 

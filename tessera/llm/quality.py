@@ -181,6 +181,7 @@ def train_quality(documents: DataFrame, labels: DataFrame, max_train: int = 20_0
         .groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     )
     wanted = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most max_train short rows
+    wanted = wanted.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # a repeated doc_id counts once
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
