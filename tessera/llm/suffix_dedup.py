@@ -308,8 +308,10 @@ def _resolve(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(kinds, pa.int32()), pa.array(buckets, pa.int64()), pa.array(batches, pa.int64()), pa.array(blobs, pa.binary())], ["kind", "bucket", "batch", "found"])
 
 
-def _mark_of(t: np.ndarray, h: np.ndarray) -> np.ndarray:
-    return _mix(t * C1 + h)
+def _numbering(t: np.ndarray, h: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """One number for each pair of a trigger and a hash among those given: both in full, as ranks side by side."""
+    triggers, hashes = np.unique(t), np.unique(h)
+    return lambda t, h: (np.searchsorted(triggers, t).astype(np.uint64) << np.uint64(32)) | np.searchsorted(hashes, h).astype(np.uint64)
 
 
 def _texts(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,12 +319,13 @@ def _texts(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for row in _each(source):
         batch = Batch(row)
         begin, windows, trigger, mark, _ = batch.parse()
-        key = _mark_of(trigger, mark)
+        number = _numbering(trigger, mark)
+        key = number(trigger, mark)
         order = np.argsort(key, kind="stable")
         out = []
         for ask in row["asked"]:
             t, h = unpack_columns(ask["found"], 8, 6)
-            at = order[np.searchsorted(key, _mark_of(t, h), sorter=order)]
+            at = order[np.searchsorted(key, number(t, h), sorter=order)]
             pieces = [self_bytes(batch.data, begin[i], windows[i]) for i in at]
             out.append((ask["bucket"], pack_columns((t, 8), (h, 6), (windows[at], 1)), _zip(b"".join(pieces))))
         buckets, heads, texts = zip(*out, strict=True)
@@ -361,7 +364,8 @@ def _combine(key: tuple, parse: pa.Table, texts: pa.Table) -> pa.Table:
     data = np.frombuffer(b"".join(map(_unzip, texts["texts"].to_pylist())), np.uint8)
     dw = dw.astype(np.int64)
     d_start = np.cumsum(dw + WIDTH - 1) - (dw + WIDTH - 1)
-    mark, d_mark = _mark_of(t, h), _mark_of(dt, dh)
+    number = _numbering(dt, dh)
+    mark, d_mark = number(t, h), number(dt, dh)
     sorter = np.argsort(d_mark, kind="stable")
     entry = sorter[np.searchsorted(d_mark, mark, sorter=sorter)]  # the dictionary phrase of each parse row
     least = np.full(len(dt), np.iinfo(np.int64).max)
@@ -396,7 +400,8 @@ def removed_bytes(batch: Batch, results: list[dict]) -> np.ndarray:
     doc = batch.ids[row]
     gone = np.zeros(len(batch.data) + 1, np.int32)
     if len(begin):
-        key = _mark_of(trigger, mark)
+        number = _numbering(trigger, mark)
+        key = number(trigger, mark)
         order = np.argsort(key, kind="stable")
         first = _by_key(order, key)
         names = key[order][first]
@@ -407,14 +412,14 @@ def removed_bytes(batch: Batch, results: list[dict]) -> np.ndarray:
         for result in results:
             if result["kind"] == RESULT:
                 t, h, _, lower = unpack_columns(result["found"], 8, 6, 1, 8)
-                at = np.searchsorted(names, _mark_of(t, h))
+                at = np.searchsorted(names, number(t, h))
                 low[at] = np.minimum(low[at], lower.view(np.int64))
             else:
                 n = int.from_bytes(result["found"][:8], "little")
                 t, h, w = unpack_columns(result["found"][8 : 8 + n], 8, 6, 1)
                 lowest = np.frombuffer(_unzip(result["found"][8 + n :]), np.int64)
                 ends = np.cumsum(w.astype(np.int64))
-                for c, a, b in zip(np.searchsorted(names, _mark_of(t, h)).tolist(), (ends - w.astype(np.int64)).tolist(), ends.tolist(), strict=True):
+                for c, a, b in zip(np.searchsorted(names, number(t, h)).tolist(), (ends - w.astype(np.int64)).tolist(), ends.tolist(), strict=True):
                     each[c] = lowest[a:b]
         apart = np.isin(of, np.fromiter(each, np.int64, len(each))) if each else np.zeros(len(of), bool)
         goes = ~apart & (doc > low[of])
@@ -466,7 +471,7 @@ def _cut_texts(names: list[str], nulls: str):
 def _prepared(source: DataFrame) -> DataFrame:
     """The batch table joined with the results that each batch needs."""
     size = source.agg(F.sum(F.octet_length(TEXT).cast("bigint"))).first()[0] or 0
-    parts, bits = min(max(8, size >> 24), 100_000), min(max(4, math.ceil(math.log2(max(size >> 22, 1)))), 20)
+    parts, bits = max(8, size >> 23), max(4, math.ceil(math.log2(max(size >> 22, 1))))  # about two batches a task
     batches = bucketed(source.mapInArrow(batches_of, "batch long, rest binary, sizes binary, text binary"), parts, "batch")
     classes = batches.mapInArrow(_classes(bits), "bucket long, batch long, found binary")
     sorted_out = materialise(classes.groupBy("bucket").applyInArrow(_resolve, "kind int, bucket long, batch long, found binary"), "resolved")
