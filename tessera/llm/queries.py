@@ -26,8 +26,8 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.range(1).select(
         F.lit(-7).cast("bigint").alias("conv_id"), F.array(*[F.struct(F.lit(r).alias("role"), F.lit(odd).alias("content")) for r in ("user", "assistant")]).alias("messages")
     )
-    done = chat.format_chats(rows.unionByName(chat.canonical_turns(own, "conv_id")))
-    read = done.select("conv_id", chat.parse_turns(F.col("formatted")).alias("turns"), chat.loss_text(F.col("pieces")).alias("loss"), F.length("formatted").cast("bigint").alias("formatted_chars"))
+    done = chat.format_chats(rows).unionByName(chat.format_chats(chat.canonical_turns(own, "conv_id")))  # a table's own -7 stays apart
+    read = done.select("conv_id", chat.parse_turns(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), F.col("loss")).alias("loss"), F.length("formatted").cast("bigint").alias("formatted_chars"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss").cast("bigint").alias("loss_chars"),
@@ -93,15 +93,15 @@ _MARKS = len(chat.START) + len(chat.SEP) + len(chat.END)
 ORACLE_SQL: dict[str, str] = {
     "op2_chat_formatting": f"""
 WITH turns AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+  SELECT 0 AS origin, conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT 1, -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT 1, -7, 1, 'assistant', '</s>[INST] ok [/INST]'
 ),
 said AS (
   SELECT conv_id, count(*) AS n_turns,
     string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS whole,
     coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
     sum(length({ESCAPED.format("role")}) + length({ESCAPED.format("text")}) + {_MARKS}) AS formatted_chars
-  FROM turns GROUP BY conv_id
+  FROM turns GROUP BY origin, conv_id
 )
 SELECT conv_id, n_turns::BIGINT AS n_turns, sha256(whole) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars::BIGINT AS formatted_chars
 FROM said

@@ -39,9 +39,8 @@ def test_chat_against_python(spark):
     done = chat.format_chats(chat.canonical_turns(rows.select("conv_id", "turn", "role", "text"), "conv_id")).collect()
     extra = chat.format_chats(chat.canonical_turns(rows, "conv_id")).collect()
     assert {r.conv_id: r.formatted for r in extra} == {r.conv_id: r.formatted for r in done}
-    read = spark.createDataFrame(done).select("conv_id", chat.parse_turns(F.col("formatted")).alias("turns"), chat.loss_text(F.col("pieces")).alias("loss")).collect()
-    for r in done:
-        assert "".join(p.text for p in r.pieces) == r.formatted
+    read = spark.createDataFrame(done).select("conv_id", chat.parse_turns(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), F.col("loss")).alias("loss")).collect()
+    assert all(sum(x.length for x in r.loss) == len(r.formatted) for r in done)
     for r in read:
         own = sorted((x for x in CHAT_ROWS if x[0] == r.conv_id), key=lambda x: (x[1] is not None, x[1] or 0, x[2] or "", x[3] or ""))
         assert [tuple(t) for t in r.turns] == [(x[2] or "", x[3] or "") for x in own]
@@ -64,6 +63,21 @@ def test_layouts_by_fingerprint(spark):
         chat.canonical_turns(spark.createDataFrame([(1, "x")], "id long, body string"), "id")
 
 
+def test_json_records_are_not_lost(spark):
+    """Further fields, paths of any depth, lists of parts; what no mapping fits comes out apart."""
+    parts = [{"type": "text", "text": "a"}, {"type": "text", "text": "b"}]
+    records = [
+        (1, json.dumps({"messages": [{"role": "user", "content": "q", "n": {"deep": [{"er": 1}]}}], "id": "x"})), (2, json.dumps({"conversations": [{"role": "user", "content": "q"}]})),
+        (3, json.dumps({"messages": [{"role": "user", "content": parts}]})), (4, json.dumps({"a": {"b": [[{"c d": 1}]]}, "e": None, "f": {}})), (5, "not json"), (6, None), (7, json.dumps({"a": {"b": [[{"c d": 2}]]}, "e": None, "f": {}})), (8, "[1]"),
+    ]
+    rows = spark.createDataFrame(records, "id long, record string").withColumn("layout", F.lit("x"))
+    assert {(r.id, r.turn, r.role, r.text) for r in chat.canonical_json(rows, "id").collect()} == {(1, 0, "user", "q"), (2, 0, "user", "q"), (3, 0, "user", "ab")}
+    lost = {r.id: r.paths for r in chat.unmapped_json(rows, "id").collect()}
+    assert lost == {4: ["a.b[][].c d", "e"], 5: None, 6: None, 7: ["a.b[][].c d", "e"], 8: None}
+    assert sorted((r.records, r.paths is None) for r in chat.unmapped_layouts(rows, "id").collect()) == [(2, False), (3, True)]
+    assert chat.canonical_json(rows.limit(0), "id").count() == 0
+
+
 def test_chat_empty(spark):
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.format_chats(chat.canonical_turns(empty, "conv_id")).count() == 0
