@@ -350,18 +350,21 @@ def test_packing_batches(docs, rows, monkeypatch):
 def brute_license(text):
     import re
 
-    def grams(x):
-        w = re.sub(r"[^a-z0-9é]+", " ", x.lower()).split()
+    def words(x):
+        return re.sub(r"[^a-z0-9é]+", " ", (x or "").lower()).split()
+
+    def grams(w):
         return Counter(zip(w, w[1:], strict=False))
 
-    lines = (text or "").split("\n")
-    units = lines if len(lines) < 2 else [*lines, text]
+    lines, whole = [words(x) for x in (text or "").split("\n")], words(text)
     out = []
-    for u in units if text is not None else []:
-        for name, body in licenses.TEMPLATES:
-            a, b = grams(u), grams(body)
-            if a and b and 2 * (a & b).total() / (a.total() + b.total()) >= 0.8:
-                out.append((2 * (a & b).total() / (a.total() + b.total()), name))
+    for name, body in licenses.TEMPLATES:
+        b = grams(words(body))
+        n = b.total()
+        units = [*lines, whole, *(whole[i : i + n + 1] for i in range(len(whole) - n))]
+        dice = max(2 * (a & b).total() / (a.total() + n) for a in map(grams, units))
+        if dice >= 0.8:
+            out.append((dice, name))
     best = min(out, key=lambda x: (-x[0], x[1])) if out else (0.0, None)
     return best[1], round(best[0], 6), len(out), ",".join(sorted({n for _, n in out}))
 
@@ -369,10 +372,25 @@ def brute_license(text):
 def test_licenses_brute_force(docs, rows, spark):
     more = [(900 + i, body, *rows[1][2:]) for i, (_, body) in enumerate(licenses.TEMPLATES)]
     more += [(950, licenses.TEMPLATES[3][1].replace("compliance", "line") + " extra", *rows[1][2:]), (951, "a b c d e\nlicensed under THE apache license,version 2.0!", *rows[1][2:])]
+    rnd = random.Random(3)
+    for i, (_, body) in enumerate(licenses.TEMPLATES):  # wrapped, changed, inside a longer text
+        w = body.split()
+        for _ in range(rnd.randint(0, 1 + len(w) // 12)):
+            w[rnd.randrange(len(w))] = "other"
+        lines = [" ".join(w[j : j + 7]) for j in range(0, len(w), 7)]
+        more.append((1000 + i, "some words before the license here " * 9 + "\n# ".join(lines) + " and words after it" * rnd.randint(0, 30), *rows[1][2:]))
     found = licenses.scan_documents(docs.unionByName(spark.createDataFrame(more, SCHEMA))).collect()
     assert sorted(map(tuple, found), key=str) == sorted(((r[0], *brute_license(r[1])) for r in [*rows, *more]), key=str)
 
 
+def test_license_in_a_paragraph(spark):
+    mit = next(b for n, b in licenses.TEMPLATES if n == "MIT" and len(b) > 400).split()
+    wrapped = "\n".join(" ".join(mit[i : i + 9]) for i in range(0, len(mit), 9))
+    made = [(1, "Foo is a library. Released under the MIT License."), (2, "x = 1\n" * 200 + wrapped + "\ny = 2" * 500), (3, "nothing of the kind " * 5000)]
+    found = {r.doc_id: r.license for r in licenses.scan_documents(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert found == {1: "MIT", 2: "MIT", 3: None}
+
+
 @pytest.mark.parametrize("build", [
     lambda d: quality.score_documents(d, None), lambda d: quality.filter_documents(d, None), lambda d: langid.identify_documents(d, langid.fit_language_model(d)), lambda d: langid.filter_documents(d, None),
     suffix_dedup.remove_repeats, suffix_dedup.filter_documents, simhash.near_duplicates, simhash.filter_documents, packing.pack, licenses.scan_documents,
