@@ -22,7 +22,7 @@ def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tessera")
     p.add_argument("--root", required=True)
     p.add_argument("--lang", choices=LANGUAGES, default="en")
-    p.add_argument("--no-embed", action="store_true", help="keyword and heading routes only")
+    p.add_argument("--embed", action="store_true", help="vector route too, with hashed vectors, which carry no meaning")
     sub = p.add_subparsers(dest="command", required=True)
     for name, arguments in {"ingest": ("workspace", "folder"), "search": ("query",), "section": ("ref",), "entry": ("entry_id",), "stats": (), "verify": (), "list": ()}.items():
         one = sub.add_parser(name)
@@ -45,7 +45,7 @@ def _rows(df) -> list[dict]:
 
 def run(args: argparse.Namespace, store: Store) -> dict:
     """The result of a command."""
-    embedder = None if args.no_embed else HashEmbedder()
+    embedder = HashEmbedder() if args.embed else None
     if args.command == "ingest":
         found = files.extract(files.scan(store.spark, args.folder)).cache()
         items = found.where("error is null").selectExpr(f"'{args.workspace}' as workspace", "text", "kind as source_type", "path as source_ref")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,12 +27,26 @@ PATTERNS: list[tuple[str, int | None]] = [
 PREFACE, CONTINUED = "卷首", "·续"
 
 
-def line_rows(df: DataFrame, key: str = "entry_id", text: str = "text") -> DataFrame:
-    """(key, line_no, start, line): lines with their offsets."""
-    rows = df.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
-    before = W.partitionBy(key).orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0))
-    return rows.select(key, F.col("line_no").cast("bigint").alias("line_no"), start.cast("bigint").alias("start"), "line")
+def line_rows(df: DataFrame, key: str = "entry_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, line_no, start, line and the columns ``carry``): lines with their offsets.
+
+    Each text is read once where it lies: its lines give the running sum of their lengths,
+    so nothing is sorted or shuffled.
+    """
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = [t.split("\n") if t is not None else [] for t in part.column(0).to_pylist()]
+                each = pa.array(np.repeat(np.arange(len(texts)), list(map(len, texts))))
+                starts = [s for ls in texts if ls for s in itertools.accumulate((len(x) + 1 for x in ls[:-1]), initial=0)]
+                columns = [part.column(i).take(each) for i in range(1, part.num_columns)]
+                yield pa.record_batch([columns[0], pa.array([i for ls in texts for i in range(len(ls))], pa.int64()), pa.array(starts, pa.int64()), pa.array([x for ls in texts for x in ls], pa.string()), *columns[1:]], names)
+
+    names = [key, "line_no", "start", "line", *carry]
+    kinds = {c: df.schema[c].dataType.simpleString() for c in (key, *carry)}
+    return df.select(text, key, *carry).mapInArrow(apply, ", ".join([f"{key} {kinds[key]}", "line_no long", "start long", "line string", *(f"{c} {kinds[c]}" for c in carry)]))
 
 
 def heading_level(line: Column) -> tuple[Column, Column]:

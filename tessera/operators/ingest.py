@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 
+SALTS = 16
 METADATA = ("title", "author", "publisher", "publish_date")
 
 
@@ -43,12 +44,14 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "entry_id") -> DataFrame:
 def superseded(entries: DataFrame) -> DataFrame:
     """(entry_id, superseded_by): older entries of a source that has a newer one.
 
-    The newest entry of a source by updated_at, then entry_id, stands; one window
-    instead of pairing a source's entries with each other.
+    The newest entry of a source by updated_at, then entry_id, stands. It is the maximum of
+    a partial aggregation, and is handed out in ``SALTS`` copies, so that a source of very
+    many entries is spread over as many tasks.
     """
-    newest = W.partitionBy("source_ref").orderBy(F.desc("updated_at"), F.desc("entry_id"))
     rows = entries.where(F.col("source_ref").isNotNull()).select("entry_id", "source_ref", "updated_at")
-    marked = rows.withColumn("superseded_by", F.first("entry_id").over(newest.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    newest = rows.groupBy("source_ref").agg(F.max(F.struct("updated_at", "entry_id")).alias("_newest"))
+    spread = newest.select("source_ref", F.col("_newest.entry_id").alias("superseded_by"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    marked = rows.withColumn("_salt", F.pmod(F.xxhash64("entry_id"), F.lit(SALTS)).cast("int")).join(spread, ["source_ref", "_salt"])
     return marked.where("entry_id <> superseded_by").select("entry_id", "superseded_by")
 
 

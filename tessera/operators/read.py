@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import capped
+from .anchors import SECTION_CHARS, subsections
 
 READ_CHARS = 30_000
 
@@ -20,6 +21,16 @@ def sections(anchors: DataFrame, entries: DataFrame) -> DataFrame:
     return rows.withColumn("_next", following).join(totals, "entry_id").select("entry_id", "section_no", "start", F.coalesce("_next", "_total").alias("stop"))
 
 
+def subsection_spans(anchors: DataFrame, entries: DataFrame, step: int = SECTION_CHARS) -> DataFrame:
+    """(entry_id, section_no, start, stop) of the sub-sections, numbered from 1: up to the next one, the next heading or the end."""
+    subs = subsections(anchors, entries, step=step).select("entry_id", "start", F.lit(True).alias("_sub"))
+    both = subs.unionByName(anchors.select("entry_id", F.col("start").cast("bigint").alias("start"), F.lit(False).alias("_sub")))
+    rows = both.withColumn("_next", F.lead("start").over(W.partitionBy("entry_id").orderBy("start", "_sub"))).where("_sub")
+    number = F.row_number().over(W.partitionBy("entry_id").orderBy("start")).cast("bigint")
+    totals = entries.select("entry_id", F.col("total_chars").cast("bigint").alias("_total"))
+    return rows.withColumn("section_no", number).join(totals, "entry_id").select("entry_id", "section_no", "start", F.coalesce("_next", "_total").alias("stop"))
+
+
 def window(start: Column, stop: Column, at: Column, most: int) -> tuple[Column, Column]:
     """A window of ``most`` characters around ``at`` inside [start, stop); the whole span if it is shorter or ``at`` is null."""
     if most <= 0:

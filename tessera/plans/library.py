@@ -109,7 +109,9 @@ class Store:
                 items = items.withColumn(c, F.lit(None).cast("string"))
         good, refused = i.split_rejects(items, "text", "workspace")
         keyed = good.withColumn("entry_id", t.entry_id(F.col("text")))
-        one = keyed.groupBy("workspace", "entry_id").agg(*[F.max(c).alias(c) for c in OPTIONAL], F.first("text").alias("text"))
+        # of items with one text the last stands, with all its metadata
+        last = F.max_by(F.struct(*OPTIONAL), F.monotonically_increasing_id())
+        one = keyed.groupBy("workspace", "entry_id").agg(last.alias("_item"), F.first("text").alias("text")).select("workspace", "entry_id", "_item.*", "text")
         stamped = one.withColumn("created_at", F.lit(now)).withColumn("updated_at", F.lit(now)).withColumn("total_chars", F.length("text").cast("bigint"))
         old = self.table("entries")
         scope = lambda df: df.withColumn("source_ref", F.concat_ws("\u0000", "workspace", F.nullif("source_ref", F.lit(""))))  # noqa: E731  sources are per workspace
@@ -203,11 +205,14 @@ class Store:
         return shaped(lib, found), found
 
     def section(self, ref: str, most: int = read.READ_CHARS) -> DataFrame:
-        """What a section reference names, around its place."""
-        entries = self.table("entries").dropDuplicates(["entry_id"])
-        heads = self.table("headings").dropDuplicates(["entry_id", "heading_no"])
+        """What a section reference names, around its place: a section, the front, or a sub-section (``#u``)."""
         p = self.spark.createDataFrame([(ref,)], "ref string").select(read.parse_ref(F.col("ref")).alias("p")).where("p is not null").select("p.*")
-        spans = read.sections(heads, entries).join(p.withColumn("section_no", F.coalesce("number", F.lit(0).cast("bigint"))), ["entry_id", "section_no"])
+        one = p.first()  # the reference itself
+        own = F.col("entry_id") == (one.entry_id if one else "")
+        entries = self.table("entries").where(own).dropDuplicates(["entry_id"])
+        heads = self.table("headings").where(own).dropDuplicates(["entry_id", "heading_no"])
+        found = read.subsection_spans(heads, entries) if one and one.kind == "u" else read.sections(heads, entries)
+        spans = found.join(p.withColumn("section_no", F.coalesce("number", F.lit(0).cast("bigint"))), ["entry_id", "section_no"])
         return read.read_spans(spans.select("entry_id", "section_no", "start", "stop", "at"), entries, most)
 
     def entry(self, entry_id: str, chunk_no: int | None = None, most: int = read.READ_CHARS) -> DataFrame:

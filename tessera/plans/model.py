@@ -36,32 +36,36 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.entries_of(good).withColumn("title", t.title_hint(F.lit(None).cast("string"), F.col("text"), F.col("entry_id")))
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One chunk per entry, the whole text."""
+def chunks(spark: SparkSession, sf_dir: str, known: DataFrame | None = None) -> DataFrame:
+    """One chunk per entry, the whole text; ``known`` are the entries, if they are at hand."""
     zero = F.lit(0).cast("bigint")
-    return entries(spark, sf_dir).select("workspace", "entry_id", zero.alias("chunk_no"), zero.alias("start"), F.col("text").alias("chunk_text"), "title", "author", "publisher", "publish_date")
+    return (known or entries(spark, sf_dir)).select("workspace", "entry_id", zero.alias("chunk_no"), zero.alias("start"), F.col("text").alias("chunk_text"), "title", "author", "publisher", "publish_date")
 
 
-def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The embeddings table as windows of the entries whose document has the vector's number."""
-    e = entries(spark, sf_dir).select("workspace", "entry_id", "doc_id")
+def vectors(spark: SparkSession, sf_dir: str, known: DataFrame | None = None) -> DataFrame:
+    """The embeddings table as windows of the entries that hold the text of the document with the vector's number.
+
+    A vector without such an entry stands for one of its own, in the workspace ``none``.
+    """
+    e = (known or entries(spark, sf_dir)).select("workspace", "entry_id")
+    texts = table(spark, sf_dir, "documents").select("doc_id", t.entry_id(F.col("text")).alias("entry_id"))
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     zero = F.lit(0).cast("bigint")
-    return v.join(e, "doc_id").select("workspace", "entry_id", zero.alias("chunk_no"), zero.alias("win_start"), "embedding")
+    own = F.coalesce("workspace", F.lit("none")), F.when(F.col("workspace").isNull(), F.concat(F.lit("vector "), "doc_id")).otherwise(F.col("entry_id"))
+    return v.join(texts, "doc_id", "left").join(e, "entry_id", "left").select(own[0].alias("workspace"), own[1].alias("entry_id"), zero.alias("chunk_no"), zero.alias("win_start"), "embedding")
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return a.line_rows(entries(spark, sf_dir))
+def lines(spark: SparkSession, sf_dir: str, known: DataFrame | None = None) -> DataFrame:
+    return a.line_rows(known or entries(spark, sf_dir), carry=("workspace",))
 
 
-def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def headings(spark: SparkSession, sf_dir: str, known: DataFrame | None = None) -> DataFrame:
     """Short lines as anchors: workspace, entry_id, heading_no, start, level, heading_text."""
     from pyspark.sql import Window as W
 
-    short = lines(spark, sf_dir).where(F.length("line").between(*ANCHOR_CHARS))
+    short = lines(spark, sf_dir, known).where(F.length("line").between(*ANCHOR_CHARS))
     number = F.row_number().over(W.partitionBy("entry_id").orderBy("start")).cast("bigint")
-    rows = short.select("entry_id", number.alias("heading_no"), "start", F.lit(1).cast("bigint").alias("level"), F.col("line").alias("heading_text"))
-    return rows.join(entries(spark, sf_dir).select("entry_id", "workspace"), "entry_id")
+    return short.select("entry_id", number.alias("heading_no"), "start", F.lit(1).cast("bigint").alias("level"), F.col("line").alias("heading_text"), "workspace")
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +86,10 @@ entries AS (
     coalesce(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(trim(x), '^#+', ''))), lambda x: x <> '')[1][:80], entry_id) AS title
   FROM firsts
 )"""
-VECTORS_SQL = "vectors AS (SELECT e.workspace, e.entry_id, e.doc_id, list_transform(v.embedding, lambda x: x::DOUBLE) AS embedding FROM embeddings v JOIN entries e ON v.vec_id = e.doc_id)"
+VECTORS_SQL = """vectors AS (
+  SELECT coalesce(e.workspace, 'none') AS workspace, coalesce(e.entry_id, 'vector ' || v.vec_id) AS entry_id, list_transform(v.embedding, lambda x: x::DOUBLE) AS embedding
+  FROM embeddings v LEFT JOIN documents d ON v.vec_id = d.doc_id LEFT JOIN entries e ON e.entry_id = left(sha256(d.text), 16)
+)"""
 LINES_SQL = """
 numbered AS (SELECT entry_id, workspace, unnest(range(len(l)))::BIGINT AS line_no, unnest(l) AS line FROM (SELECT entry_id, workspace, string_split(text, chr(10)) AS l FROM entries)),
 lines AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY entry_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM numbered)"""

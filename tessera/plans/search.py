@@ -87,12 +87,15 @@ def shaped(library: Library, search: Search) -> DataFrame:
     """Hits by section: rank, reference, heading, section length, line and scores."""
     places = library.chunks.select("workspace", "entry_id", F.col("chunk_no").cast("string").alias("unit"), F.col("start"))
     hits = search.hits.join(places, ["workspace", "entry_id", "unit"], "left").withColumn("at", F.coalesce("hit_offset", "win_start", "start", "heading_offset"))
-    marked = a.asof_backward(hits.drop("start"), library.headings.select("entry_id", "start", F.col("heading_no").alias("section_no")), ["entry_id"], "at", ["section_no"])
+    near = library.headings.join(F.broadcast(hits.select("entry_id").distinct()), "entry_id", "left_semi")
+    marked = a.asof_backward(hits.drop("start"), near.select("entry_id", "start", F.col("heading_no").alias("section_no")), ["entry_id"], "at", ["section_no"])
     merged = r.by_section(marked)
     rep = hits.select("workspace", "entry_id", "unit", "at")
-    spans = read.sections(library.headings, library.entries).select("entry_id", F.col("section_no").alias("_no"), F.col("start").alias("_a"), F.col("stop").alias("_b"))
+    wanted = F.broadcast(hits.select("entry_id").distinct())  # at most as many short rows as hits, 100
+    found = library.entries.join(wanted, "entry_id", "left_semi")
+    spans = read.sections(library.headings.join(wanted, "entry_id", "left_semi"), found).select("entry_id", F.col("section_no").alias("_no"), F.col("start").alias("_a"), F.col("stop").alias("_b"))
     rows = merged.join(rep, ["workspace", "entry_id", "unit"]).withColumn("_no", F.coalesce("section_no", F.lit(0)))
-    whole = library.entries.select("entry_id", "title", "text")
+    whole = found.select("entry_id", "title", "text")
     out = rows.join(spans, ["entry_id", "_no"], "left").join(whole, "entry_id")
     line = F.regexp_count(F.substr("text", F.lit(1), F.col("at").cast("int")), F.lit("\n")) + 1
     return out.select(

@@ -11,6 +11,7 @@ from ..functions import text as t
 from ..operators import anchors as a
 from ..operators import query as q
 from ..operators import retrieve as r
+from ..session import materialise
 from . import model as m
 from .registry import query
 from .search import Library, plan, shaped
@@ -137,7 +138,7 @@ def snippet_like(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LIST_SQL = "[" + ", ".join(map(repr, VECTOR)) + "]::DOUBLE[]"
 VECTOR_SQL = f"""
-near AS (SELECT workspace, entry_id, 0::BIGINT AS chunk_no, 0::BIGINT AS win_start, round(greatest(0.0::DOUBLE, list_inner_product(embedding, {LIST_SQL})), 4) AS score FROM vectors),
+near AS (SELECT workspace, entry_id, 0::BIGINT AS chunk_no, 0::BIGINT AS win_start, max(round(greatest(0.0::DOUBLE, list_inner_product(embedding, {LIST_SQL})), 4)) AS score FROM vectors GROUP BY workspace, entry_id),
 vector AS (SELECT *, row_number() OVER (ORDER BY score DESC, entry_id, chunk_no) AS route_rank FROM near QUALIFY route_rank <= 60)"""
 
 
@@ -197,7 +198,9 @@ top AS (SELECT *, row_number() OVER (ORDER BY total DESC, workspace, entry_id, u
 
 
 def library(spark: SparkSession, sf_dir: str) -> Library:
-    return Library(m.entries(spark, sf_dir), m.chunks(spark, sf_dir), m.vectors(spark, sf_dir), m.headings(spark, sf_dir))
+    """The tables of a search; entries and headings, which several parts read, are written once."""
+    known = materialise(m.entries(spark, sf_dir), "entries")
+    return Library(known, m.chunks(spark, sf_dir, known), m.vectors(spark, sf_dir, known), materialise(m.headings(spark, sf_dir, known), "headings"))
 
 
 @query(f"WITH {ROUTES_SQL}, {FUSE_SQL} SELECT workspace, entry_id, unit, fused_rank, round(total, 4) AS score, round(f, 4) AS fts_score, round(v, 4) AS vector_score, round(h, 4) AS heading_score, score_source FROM top")

@@ -75,16 +75,6 @@ def slice_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.slice_manifest(m.entries(spark, sf_dir), size=1000, overlap=100)
 
 
-@query(f"""WITH {m.ENTRIES_SQL}, slices AS (SELECT entry_id, unnest(range((total_chars + 999) // 1000))::BIGINT AS slice_no, text FROM entries)
-SELECT entry_id, slice_no, length(text[slice_no * 1000 + 1:slice_no * 1000 + 1000])::BIGINT AS chars, left(sha256(text[slice_no * 1000 + 1:slice_no * 1000 + 1000]), 16) AS sha256 FROM slices""")
-def slice_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes and hash keys of fixed slices."""
-    e = m.entries(spark, sf_dir)
-    rows = e.select("entry_id", "text", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("total_chars") / 1000) - 1)).alias("slice_no"))
-    body = F.substr("text", (F.col("slice_no") * 1000 + 1).cast("int"), F.lit(1000))
-    return rows.select("entry_id", "slice_no", F.length(body).cast("bigint").alias("chars"), t.entry_id(body).alias("sha256"))
-
-
 #: Lines of documents with heading marks put before some of them.
 MARKED = "CASE WHEN line_no % 5 = 0 THEN '## ' || left(line, 30) WHEN line_no % 5 = 1 THEN 'Chapter ' || line_no WHEN line_no % 5 = 2 THEN '1.2.3 ' || left(line, 8) WHEN line_no % 5 = 3 THEN 'Running head' ELSE line END"
 LEVEL = "CASE WHEN regexp_matches(x, '^#{1,6}\\s+.+') THEN length(regexp_extract(x, '^(#+)', 1)) WHEN length(trim(x)) <= 60 AND NOT regexp_matches(trim(x), '[。！？；!?;.]$') THEN CASE WHEN regexp_matches(trim(x), '(?i)^chapter\\s+[0-9]+') THEN 1 WHEN regexp_matches(trim(x), '^[0-9]+(\\.[0-9]+)+\\s*\\S') THEN least(6, 1 + length(regexp_extract(trim(x), '^[0-9]+(\\.[0-9]+)+\\s*\\S')) - length(replace(regexp_extract(trim(x), '^[0-9]+(\\.[0-9]+)+\\s*\\S'), '.', ''))) END END"

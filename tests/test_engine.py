@@ -209,3 +209,10 @@ def test_entry(spark, small):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_subsection_spans(spark):
+    entries = spark.createDataFrame([("a", 50_000), ("b", 90_000)], "entry_id string, total_chars long")
+    heads = spark.createDataFrame([("b", 1, 30_000, 1, "x"), ("b", 2, 80_000, 1, "y")], "entry_id string, heading_no long, start long, level long, heading_text string")
+    found = sorted((r.entry_id, r.section_no, r.start, r.stop) for r in read.subsection_spans(heads, entries).collect())
+    assert found == [("a", 1, 20_000, 50_000), ("b", 1, 20_000, 30_000), ("b", 2, 50_000, 70_000), ("b", 3, 70_000, 80_000)]
