@@ -61,7 +61,8 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = warc.plan_records(_table(spark, sf_dir, "pages"))
     archives = materialise(warc.pack_archives(planned), "archives")
-    return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    whole = F.when(F.col("error").isNull(), F.col("page_id")).otherwise(F.raise_error(F.col("error")).cast("bigint"))  # own archives: all or nothing
+    return warc.read_archives(archives).select(whole.alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

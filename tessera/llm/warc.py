@@ -15,7 +15,9 @@ Defined results for odd input: a null html is an empty payload; rows that repeat
 page_id with the same payload are all the response (they carry the id that others
 revisit); a null page_id never is a response that others revisit, and revisits if
 another row has its payload; a null url is written as an empty target; an empty
-table gives an empty result; extra columns are ignored.
+table gives an empty result; extra columns are ignored; texts of any length are one
+record each; broken archives and records give rows with an error (``read_archives``).
+An archive is one binary value here, so it holds 2 GB at most.
 """
 
 from __future__ import annotations
@@ -32,6 +34,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
+from .skew import join_groups
+
 MEMBER, INDEX = "archive/data.warc", "indexes/index.cdx"
 #: Fixed values of the ZIP format: signatures and field layouts.
 LOCAL, CENTRAL, END, LOCATOR, END64 = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x07", b"PK\x06\x06"
@@ -94,7 +99,7 @@ def zip_members(data: memoryview) -> dict[str, tuple[int, int]]:
                 packed = next(wide) if packed == FULL32 else packed
                 local = next(wide) if local == FULL32 else local
             more = more[4 + length :]
-        if method == 0:
+        if method == 0 and packed == n:
             *_, l_name, l_more = struct.unpack_from(LOCAL_FIELDS, data, local)
             found[name] = (local + 30 + l_name + l_more, n)
         start += 46 + n_name + n_more + n_note
@@ -131,8 +136,8 @@ def plan_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("mark", F.sha1(F.col("html").cast("binary")))
     large = rows.where(F.octet_length("html") >= min_bytes)
-    first = large.groupBy("mark").agg(F.min("page_id").alias("first_id"), F.min_by("url", "page_id").alias("first_url"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    joined = rows.join(first, "mark", "left")
+    first = large.groupBy("mark").agg(F.min("page_id").alias("first_id"), F.min_by("url", "page_id").alias("first_url"), F.count("*").alias("copies")).where("copies > 1")
+    joined = join_groups(rows, materialise(first, "payloads"), "mark", pages.count())
     revisits = (F.octet_length("html") >= min_bytes) & F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return joined.select("page_id", "url", "html", F.when(revisits, F.col("first_id")).alias("refers_to"), F.when(revisits, F.col("first_url")).alias("refers_url"))
 
@@ -163,41 +168,62 @@ def pack_archives(planned: DataFrame, archive_bytes: int = 1 << 20, zip64: bool
     return planned.select("page_id", "url", "html", "refers_to", "refers_url").mapInArrow(apply, "content binary")
 
 
-def records_of(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields and block of each indexed record of one archive, by range reads."""
+BROKEN = (ValueError, KeyError, TypeError, IndexError, struct.error)
+
+
+def records_of(archive: bytes) -> Iterator[tuple[dict[str, str], bytes] | str]:
+    """Header fields and block of each indexed record of one archive, by range reads; a text says what can't be read."""
     view = memoryview(archive)
-    members = zip_members(view)
-    for name, (start, length) in members.items():
-        if not name.startswith("indexes/"):
-            continue
-        for line in bytes(view[start : start + length]).decode().splitlines():
-            entry = json.loads(line)
-            base, size = members[entry["filename"]]
-            first, last = base + entry["offset"], base + entry["offset"] + entry["length"]
-            if last > base + size:
-                raise ValueError("the index points outside its member")
-            yield parse_record(bytes(view[first:last]))
+    try:
+        members = zip_members(view)
+    except BROKEN as e:
+        yield f"broken archive: {e}"
+        return
+    indexes = [m for name, m in members.items() if name.startswith("indexes/")]
+    if not indexes:
+        yield "no stored index"
+    for start, length in indexes:
+        for line in bytes(view[start : start + length]).decode("utf-8", "replace").splitlines():
+            try:
+                entry = json.loads(line)
+                if entry["filename"] not in members:
+                    raise ValueError(f"{entry['filename']} is missing or compressed")
+                base, size = members[entry["filename"]]
+                first, last = base + entry["offset"], base + entry["offset"] + entry["length"]
+                if entry["offset"] < 0 or last > base + size:
+                    raise ValueError("the index points outside its member")
+                yield parse_record(bytes(view[first:last]))
+            except BROKEN as e:
+                yield f"broken record: {e}"
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
-    """page_id, url, payload (null for revisits), payload_bytes, payload_digest, record_type, refers_to of every record.
+    """page_id, url, payload (null for revisits), payload_bytes, payload_digest, record_type, refers_to of every record, and error.
 
-    The payload of a response is checked against its digest.
+    The payload of a response is checked against its digest. What can't be read (a broken
+    archive, a compressed member, a damaged record) is a row with an ``error`` and nulls;
+    the records beside it are read all the same.
     """
 
+    def row(fields: dict[str, str], block: bytes) -> tuple:
+        payload = block.partition(b"\r\n\r\n")[2]
+        response, digest = fields["WARC-Type"] == "response", fields["WARC-Payload-Digest"].removeprefix("sha1:")
+        if response and sha1_base32(payload) != digest:
+            raise ValueError(f"payload of {fields['WARC-Record-ID']} doesn't have its digest")
+        number = lambda name: int(fields[name]) if fields.get(name) else None
+        return (number("X-Page-ID"), fields["WARC-Target-URI"], payload if response else None, len(payload) if response else number("X-Payload-Length"), digest, fields["WARC-Type"], number("X-Refers-To-Page-ID"), None)
+
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for archive in batch.column(0):
                 rows = []
-                for fields, block in records_of(archive.as_py()):
-                    payload = block.partition(b"\r\n\r\n")[2]
-                    response, digest = fields["WARC-Type"] == "response", fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                    if response and sha1_base32(payload) != digest:
-                        raise ValueError(f"payload of {fields['WARC-Record-ID']} doesn't have its digest")
-                    number = lambda name: int(fields[name]) if fields.get(name) else None  # noqa: B023, E731
-                    rows.append((number("X-Page-ID"), fields["WARC-Target-URI"], payload if response else None, len(payload) if response else number("X-Payload-Length"), digest, fields["WARC-Type"], number("X-Refers-To-Page-ID")))
-                kinds = (pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64())
+                for found in records_of(archive.as_py() or b""):
+                    try:
+                        rows.append(row(*found) if not isinstance(found, str) else (*[None] * 7, found))
+                    except BROKEN as e:
+                        rows.append((*[None] * 7, f"broken record: {e}"))
+                kinds = (pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
                 columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to", "error"])
 
-    return archives.select("content").mapInArrow(apply, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return archives.select("content").mapInArrow(apply, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long, error string")

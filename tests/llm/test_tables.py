@@ -164,6 +164,22 @@ def test_zip_as_the_standard_library_reads_it():
         warc.zip_members(memoryview(b"no archive"))
 
 
+def test_broken_archives_give_error_rows(spark):
+    pages = spark.createDataFrame(PAGES[:5], "page_id long, url string, html string").coalesce(1)
+    good = bytes(warc.pack_archives(warc.plan_records(pages)).first().content)
+    data = bytearray(good)
+    data[data.index(b"body")] ^= 1
+    other = io.BytesIO()
+    with zipfile.ZipFile(other, "w") as z:
+        z.writestr(warc.MEMBER, b"x" * 500, zipfile.ZIP_DEFLATED)
+        z.writestr(warc.INDEX, json.dumps({"offset": 0, "length": 5, "filename": warc.MEMBER}) + "\nnot json")
+    made = [(good,), (bytes(data),), (b"no archive",), (None,), (good[: len(good) // 2],), (other.getvalue(),)]
+    found = warc.read_archives(spark.createDataFrame(made, "content binary")).collect()
+    errors = [r.error for r in found if r.error]
+    assert len(found) - len(errors) == 5 + 4 and len(errors) == 1 + 1 + 1 + 1 + 2
+    assert any("compressed" in e for e in errors) and any("digest" in e for e in errors)
+
+
 def test_min_bytes_leaves_small_payloads(spark):
     planned = warc.plan_records(spark.createDataFrame(PAGES, "page_id long, url string, html string"), min_bytes=1000)
     assert {r.page_id for r in planned.where("refers_to is not null").collect()} == {8}
