@@ -47,12 +47,26 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     loses none of it. The table is deleted when the driver process ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    path = _own_path(spark, name)
     df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """The full URI of a new folder in the shared folder; it is deleted when the driver process ends."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(_own_path(spark, name))
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(target)
+    return re.sub("^file:/+", "file:///", files.makeQualified(target).toString())
+
+
+def _own_path(spark: SparkSession, name: str) -> str:
+    path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
     if not _written:
         atexit.register(_clean)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def bucketed(df: DataFrame, n: int, column: str) -> DataFrame:
