@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, langid, licenses, packing, quality, simhash, suffix_dedup, topk, warc
-from ..session import materialise
+from ..session import materialise, shared_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,9 +60,9 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = warc.plan_records(_table(spark, sf_dir, "pages"))
-    archives = materialise(warc.pack_archives(planned), "archives")
+    archives = materialise(warc.write_archives(planned, shared_folder(spark, "archives")), "archive-paths")
     whole = F.when(F.col("error").isNull(), F.col("page_id")).otherwise(F.raise_error(F.col("error")).cast("bigint"))  # own archives: all or nothing
-    return warc.read_archives(archives).select(whole.alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.read_archive_files(archives).select(whole.alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

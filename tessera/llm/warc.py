@@ -1,12 +1,14 @@
 """WARC records in ZIP-packaged archives, written and read back by byte ranges.
 
-``pack_archives`` writes a WARC record per page into archives: ZIP files whose
+``write_archives`` writes a WARC record per page into archives: ZIP files whose
 members (``archive/data.warc`` and ``indexes/index.cdx``) are stored without
-compression, with ZIP64 fields where sizes ask for them. ``read_archives`` takes
-archives as a binary column (such as the binaryFile source gives), finds the end
-of the central directory, follows the ZIP64 locator if there is one, locates the
-members by their local headers and reads each record by the offset and length
-that the index gives: nothing is extracted, only ranges are sliced.
+compression, with ZIP64 fields where sizes ask for them. ``read_archive_files``
+opens such files for random access: it reads the tail to find the end of the
+central directory, follows the ZIP64 locator if there is one, locates the members
+by their local headers, reads the index in blocks and deals its entries out over
+tasks, which range-read each record by its offset and length. Nothing is extracted,
+and no file is loaded whole, so files may have any size. ``pack_archives`` and
+``read_archives`` do the same for archives held as a binary column (at most 2 GB each).
 
 ``plan_records`` decides response or revisit: of records with equal payloads of at
 least ``min_bytes`` the smallest page_id is the response and others revisit it.
@@ -16,8 +18,8 @@ page_id with the same payload are all the response (they carry the id that other
 revisit); a null page_id never is a response that others revisit, and revisits if
 another row has its payload; a null url is written as an empty target; an empty
 table gives an empty result; extra columns are ignored; texts of any length are one
-record each; broken archives and records give rows with an error (``read_archives``).
-An archive is one binary value here, so it holds 2 GB at most.
+record each; broken or missing archives and broken records give rows with an error.
+Files are opened by URI through pyarrow (file, hdfs, s3, gs, abfs).
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +46,29 @@ LOCAL, CENTRAL, END, LOCATOR, END64 = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06
 LOCAL_FIELDS, CENTRAL_FIELDS, END_FIELDS = "<4sHHHHHIIIHH", "<4sHHHHHHIIIHHHHHII", "<4sHHHHIIH"
 LOCATOR_FIELDS, END64_FIELDS = "<4sIQI", "<4sQHHIIQQQQ"
 FULL16, FULL32 = 0xFFFF, 0xFFFFFFFF
+#: Bytes of a read ahead; bytes and records of one row of ranges; bytes of an archive file.
+AHEAD, RANGE_BYTES, RANGE_RECORDS, FILE_BYTES = 1 << 17, 4 << 20, 512, 16 << 20
+
+
+class Ranges:
+    """A file as a sliceable: a slice is read by seek, with some bytes ahead for the next ones."""
+
+    def __init__(self, file: pa.NativeFile):
+        self.file, self.size, self.at, self.held = file, file.size(), 0, b""
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, part: slice) -> bytes:
+        first, last, _ = part.indices(self.size)
+        if not self.at <= first <= last <= self.at + len(self.held):
+            self.file.seek(first)
+            self.at, self.held = first, self.file.read(max(last - first, min(AHEAD, self.size - first)))
+        return self.held[first - self.at : max(last - self.at, 0)]
+
+
+def _fields(layout: str, data: memoryview | Ranges, at: int) -> tuple:
+    return struct.unpack(layout, bytes(data[at : at + struct.calcsize(layout)]) if at >= 0 else b"")
 
 
 def sha1_base32(payload: bytes) -> str:
@@ -69,9 +95,9 @@ def zip_stored(members: list[tuple[str, bytes]], zip64: bool = False) -> bytes:
     return bytes(out + struct.pack(END_FIELDS, END, 0, 0, n, n, size, start, 0))
 
 
-def zip_members(data: memoryview) -> dict[str, tuple[int, int]]:
+def zip_members(data: memoryview | Ranges) -> dict[str, tuple[int, int]]:
     """(offset, length) of the bytes of each stored member, from the central directory."""
-    tail = bytes(data[-(65_536 + 22) :])
+    tail = bytes(data[max(0, len(data) - 65_536 - 22) : len(data)])
     at = tail.rfind(END)
     whole = lambda at: len(tail) - at >= 22 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] == len(tail)
     while at >= 0 and not whole(at):  # a signature inside the comment
@@ -79,14 +105,14 @@ def zip_members(data: memoryview) -> dict[str, tuple[int, int]]:
     if at < 0:
         raise ValueError("not a ZIP archive: no end of central directory")
     end = len(data) - len(tail) + at
-    *_, count, size, start, _ = struct.unpack_from(END_FIELDS, data, end)
+    *_, count, size, start, _ = _fields(END_FIELDS, data, end)
     if FULL16 == count or FULL32 in (size, start):
-        signature, _, where, _ = struct.unpack_from(LOCATOR_FIELDS, data, end - 20)
+        signature, _, where, _ = _fields(LOCATOR_FIELDS, data, end - 20)
         if signature == LOCATOR:
-            *_, count, size, start = struct.unpack_from(END64_FIELDS, data, where)
+            *_, count, size, start = _fields(END64_FIELDS, data, where)
     found = {}
     for _ in range(count):
-        (signature, _, _, flags, method, _, _, _, packed, n, n_name, n_more, n_note, _, _, _, local) = struct.unpack_from(CENTRAL_FIELDS, data, start)
+        (signature, _, _, flags, method, _, _, _, packed, n, n_name, n_more, n_note, _, _, _, local) = _fields(CENTRAL_FIELDS, data, start)
         if signature != CENTRAL:
             raise ValueError("broken central directory")
         name = bytes(data[start + 46 : start + 46 + n_name]).decode("utf-8" if flags & 0x800 else "cp437")
@@ -100,7 +126,7 @@ def zip_members(data: memoryview) -> dict[str, tuple[int, int]]:
                 local = next(wide) if local == FULL32 else local
             more = more[4 + length :]
         if method == 0 and packed == n:
-            *_, l_name, l_more = struct.unpack_from(LOCAL_FIELDS, data, local)
+            *_, l_name, l_more = _fields(LOCAL_FIELDS, data, local)
             found[name] = (local + 30 + l_name + l_more, n)
         start += 46 + n_name + n_more + n_note
     return found
@@ -142,11 +168,12 @@ def plan_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     return joined.select("page_id", "url", "html", F.when(revisits, F.col("first_id")).alias("refers_to"), F.when(revisits, F.col("first_url")).alias("refers_url"))
 
 
-def pack_archives(planned: DataFrame, archive_bytes: int = 1 << 20, zip64: bool = False) -> DataFrame:
-    """One row per archive (column ``content``), each of about ``archive_bytes`` or one record."""
+def _archives(planned: DataFrame, archive_bytes: int, zip64: bool, column: str, kind: str, keep) -> DataFrame:
+    """One row per archive, each of about ``archive_bytes`` or one record: what ``keep`` returns for its bytes."""
 
     def closed(records: list[bytes], index: list[str]) -> pa.RecordBatch:
-        return pa.record_batch([pa.array([zip_stored([(MEMBER, b"".join(records)), (INDEX, "\n".join(index).encode())], zip64)], pa.binary())], ["content"])
+        made = zip_stored([(MEMBER, b"".join(records)), (INDEX, "\n".join(index).encode())], zip64)
+        return pa.record_batch([pa.array([keep(made)], pa.binary() if kind == "binary" else pa.string())], [column])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         records, index, at = [], [], 0
@@ -165,17 +192,48 @@ def pack_archives(planned: DataFrame, archive_bytes: int = 1 << 20, zip64: bool
         if records:
             yield closed(records, index)
 
-    return planned.select("page_id", "url", "html", "refers_to", "refers_url").mapInArrow(apply, "content binary")
+    return planned.select("page_id", "url", "html", "refers_to", "refers_url").mapInArrow(apply, f"{column} {kind}")
+
+
+def pack_archives(planned: DataFrame, archive_bytes: int = 1 << 20, zip64: bool = False) -> DataFrame:
+    """One row per archive (column ``content``)."""
+    return _archives(planned, archive_bytes, zip64, "content", "binary", lambda made: made)
+
+
+def write_archives(planned: DataFrame, folder: str, archive_bytes: int = FILE_BYTES, zip64: bool = False) -> DataFrame:
+    """One row per archive file (column ``path``) written below ``folder``, a URI that all executors reach.
+
+    A name is never used twice, so a task that runs again leaves only files that no row names:
+    write the rows to a table before reading the files.
+    """
+
+    def keep(made: bytes) -> str:
+        path = f"{folder}/{uuid.uuid4().hex}.zip"
+        where, name = fs.FileSystem.from_uri(path)
+        with where.open_output_stream(name) as out:
+            out.write(made)
+        return path
+
+    return _archives(planned, archive_bytes, zip64, "path", "string", keep)
 
 
-BROKEN = (ValueError, KeyError, TypeError, IndexError, struct.error)
+BROKEN = (ValueError, KeyError, TypeError, IndexError, OverflowError, struct.error)
 
 
-def records_of(archive: bytes) -> Iterator[tuple[dict[str, str], bytes] | str]:
-    """Header fields and block of each indexed record of one archive, by range reads; a text says what can't be read."""
-    view = memoryview(archive)
+def _lines(data: memoryview | Ranges, start: int, length: int) -> Iterator[str]:
+    """The lines of a stored member, read in blocks."""
+    rest, end = b"", start + length
+    for at in range(start, end, AHEAD):
+        *lines, rest = (rest + bytes(data[at : min(at + AHEAD, end)])).split(b"\n")
+        yield from (x.decode("utf-8", "replace") for x in lines)
+    if rest:
+        yield rest.decode("utf-8", "replace")
+
+
+def located(data: memoryview | Ranges) -> Iterator[tuple[int, int] | str]:
+    """First and last byte of each indexed record of one archive; a text says what can't be read."""
     try:
-        members = zip_members(view)
+        members = zip_members(data)
     except BROKEN as e:
         yield f"broken archive: {e}"
         return
@@ -183,47 +241,112 @@ def records_of(archive: bytes) -> Iterator[tuple[dict[str, str], bytes] | str]:
     if not indexes:
         yield "no stored index"
     for start, length in indexes:
-        for line in bytes(view[start : start + length]).decode("utf-8", "replace").splitlines():
+        for line in _lines(data, start, length):
             try:
                 entry = json.loads(line)
                 if entry["filename"] not in members:
                     raise ValueError(f"{entry['filename']} is missing or compressed")
                 base, size = members[entry["filename"]]
                 first, last = base + entry["offset"], base + entry["offset"] + entry["length"]
-                if entry["offset"] < 0 or last > base + size:
+                if entry["offset"] < 0 or entry["length"] < 0 or last > base + size:
                     raise ValueError("the index points outside its member")
-                yield parse_record(bytes(view[first:last]))
+                yield first, last
             except BROKEN as e:
                 yield f"broken record: {e}"
 
 
-def read_archives(archives: DataFrame) -> DataFrame:
-    """page_id, url, payload (null for revisits), payload_bytes, payload_digest, record_type, refers_to of every record, and error.
+ROW_KINDS = (pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
+ROW_NAMES = ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to", "error"]
+ROW_SCHEMA = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long, error string"
 
-    The payload of a response is checked against its digest. What can't be read (a broken
-    archive, a compressed member, a damaged record) is a row with an ``error`` and nulls;
-    the records beside it are read all the same.
-    """
 
-    def row(fields: dict[str, str], block: bytes) -> tuple:
+def _row(found: tuple[int, int] | str, data: memoryview | Ranges) -> tuple:
+    """The row of one record; the payload of a response is checked against its digest."""
+    try:
+        if isinstance(found, str):
+            return (*[None] * 7, found)
+        fields, block = parse_record(bytes(data[found[0] : found[1]]))
         payload = block.partition(b"\r\n\r\n")[2]
         response, digest = fields["WARC-Type"] == "response", fields["WARC-Payload-Digest"].removeprefix("sha1:")
         if response and sha1_base32(payload) != digest:
             raise ValueError(f"payload of {fields['WARC-Record-ID']} doesn't have its digest")
         number = lambda name: int(fields[name]) if fields.get(name) else None
         return (number("X-Page-ID"), fields["WARC-Target-URI"], payload if response else None, len(payload) if response else number("X-Payload-Length"), digest, fields["WARC-Type"], number("X-Refers-To-Page-ID"), None)
+    except BROKEN as e:
+        return (*[None] * 7, f"broken record: {e}")
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[]] * len(ROW_KINDS)
+    return pa.record_batch([pa.array(c, k) for c, k in zip(columns, ROW_KINDS, strict=True)], ROW_NAMES)
+
+
+def read_archives(archives: DataFrame) -> DataFrame:
+    """page_id, url, payload (null for revisits), payload_bytes, payload_digest, record_type, refers_to of every record, and error.
+
+    What can't be read (a broken archive, a compressed member, a damaged record) is a row
+    with an ``error`` and nulls; the records beside it are read all the same.
+    """
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for archive in batch.column(0):
-                rows = []
-                for found in records_of(archive.as_py() or b""):
-                    try:
-                        rows.append(row(*found) if not isinstance(found, str) else (*[None] * 7, found))
-                    except BROKEN as e:
-                        rows.append((*[None] * 7, f"broken record: {e}"))
-                kinds = (pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
-                columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to", "error"])
-
-    return archives.select("content").mapInArrow(apply, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long, error string")
+                view = memoryview(archive.as_py() or b"")
+                yield _batch([_row(found, view) for found in located(view)])
+
+    return archives.select("content").mapInArrow(apply, ROW_SCHEMA)
+
+
+def record_ranges(paths: DataFrame) -> DataFrame:
+    """path, firsts, lasts and error: the indexed records of each file, in rows of bounded bytes and records."""
+    kinds = (pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string())
+
+    def rows(path: str) -> Iterator[tuple]:
+        firsts, lasts, held = [], [], 0
+        try:
+            where, name = fs.FileSystem.from_uri(path)
+            with where.open_input_file(name) as file:
+                for found in located(Ranges(file)):
+                    if isinstance(found, str):
+                        yield path, [], [], found
+                        continue
+                    firsts.append(found[0])
+                    lasts.append(found[1])
+                    held += found[1] - found[0]
+                    if len(firsts) == RANGE_RECORDS or held >= RANGE_BYTES:
+                        yield path, firsts, lasts, None
+                        firsts, lasts, held = [], [], 0
+        except (*BROKEN, FileNotFoundError) as e:  # other failures of the storage end the task, which runs again
+            yield path, [], [], f"broken archive: {e}"
+        if firsts:
+            yield path, firsts, lasts, None
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                for row in rows(path):
+                    yield pa.record_batch([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], ["path", "firsts", "lasts", "error"])
+
+    return paths.where("path is not null").select("path").mapInArrow(apply, "path string, firsts array<bigint>, lasts array<bigint>, error string")
+
+
+def read_archive_files(paths: DataFrame) -> DataFrame:
+    """The rows of ``read_archives`` for archive files by their URI (column ``path``; null: none), by range reads.
+
+    The ranges of the records, few numbers each, are dealt out over all tasks, so one
+    large archive is read by many.
+    """
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, firsts, lasts, error in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if error is not None:
+                    yield _batch([_row(error, b"")])
+                    continue
+                where, name = fs.FileSystem.from_uri(path)
+                with where.open_input_file(name) as file:
+                    data = Ranges(file)
+                    yield _batch([_row(found, data) for found in zip(firsts, lasts, strict=True)])
+
+    n = int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return record_ranges(paths).repartition(n).mapInArrow(apply, ROW_SCHEMA)

@@ -15,7 +15,7 @@ pytest.importorskip("public_tokenizers")
 
 import corpus_pipeline  # noqa: E402
 from tessera.llm import chat, packing, queries, topk, warc  # noqa: E402
-from tessera.session import materialise  # noqa: E402
+from tessera.session import materialise, shared_folder  # noqa: E402
 
 
 def test_escape_is_reversible(spark):
@@ -180,6 +180,44 @@ def test_broken_archives_give_error_rows(spark):
     assert any("compressed" in e for e in errors) and any("digest" in e for e in errors)
 
 
+@pytest.mark.parametrize("zip64", [False, True])
+def test_archive_files_round_trip(spark, monkeypatch, zip64):
+    monkeypatch.setattr(warc, "RANGE_RECORDS", 2)
+    pages = spark.createDataFrame(PAGES, "page_id long, url string, html string").repartition(2)
+    paths = materialise(warc.write_archives(warc.plan_records(pages), shared_folder(spark, "test-files"), archive_bytes=1000, zip64=zip64), "test-paths")
+    found = warc.read_archive_files(paths).collect()
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in found), key=str) == brute_warc(PAGES)
+    assert paths.count() > 2 and all(r.error is None and (r.payload is None) == (r.record_type == "revisit") for r in found)
+    assert warc.record_ranges(paths).where("size(firsts) > 2").isEmpty()
+
+
+def test_archive_file_beyond_4_gb_is_read_by_seeks(spark, tmp_path):
+    payload = b"far away"
+    record = warc.warc_record(7, "http://x/", payload, warc.sha1_base32(payload), None, "")
+    large = tmp_path / "large.zip"
+    with open(large, "wb") as f:
+        f.truncate(5 << 30)  # a hole, no bytes on the disk
+    with zipfile.ZipFile(large, "a") as z:  # appended behind the hole, so offsets need ZIP64
+        z.writestr(warc.MEMBER, record * 3)
+        z.writestr(warc.INDEX, "\n".join(json.dumps({"offset": i * len(record), "length": len(record), "filename": warc.MEMBER}) for i in range(3)))
+    found = warc.read_archive_files(spark.createDataFrame([(f"file://{large}",)], "path string")).collect()
+    assert [(r.page_id, bytes(r.payload), r.error) for r in found] == [(7, payload, None)] * 3
+
+
+def test_broken_and_missing_files_give_error_rows(spark, tmp_path):
+    pages = spark.createDataFrame(PAGES[:5], "page_id long, url string, html string").coalesce(1)
+    good = bytes(warc.pack_archives(warc.plan_records(pages)).first().content)
+    bad = bytearray(good)
+    bad[bad.index(b"body")] ^= 1
+    for name, data in (("good", good), ("bad", bytes(bad)), ("half", good[: len(good) // 2]), ("empty", b"")):
+        (tmp_path / name).write_bytes(data)
+    paths = [(f"file://{tmp_path}/{name}",) for name in ("good", "bad", "half", "empty", "missing")]
+    found = warc.read_archive_files(spark.createDataFrame([*paths, (None,)], "path string")).collect()
+    errors = sorted(r.error for r in found if r.error)
+    assert len(found) - len(errors) == 5 + 4 and len(errors) == 4
+    assert sum("broken archive" in e for e in errors) == 3 and sum("digest" in e for e in errors) == 1
+
+
 def test_min_bytes_leaves_small_payloads(spark):
     planned = warc.plan_records(spark.createDataFrame(PAGES, "page_id long, url string, html string"), min_bytes=1000)
     assert {r.page_id for r in planned.where("refers_to is not null").collect()} == {8}
@@ -188,6 +226,7 @@ def test_min_bytes_leaves_small_payloads(spark):
 def test_warc_empty(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read_archives(warc.pack_archives(warc.plan_records(pages))).count() == 0
+    assert warc.read_archive_files(warc.write_archives(warc.plan_records(pages), shared_folder(spark, "test-files"))).count() == 0
 
 
 def test_pipeline_stages(spark, small):
