@@ -108,9 +108,9 @@ class Store:
             if c not in items.columns:
                 items = items.withColumn(c, F.lit(None).cast("string"))
         good, refused = i.split_rejects(items, "text", "workspace")
-        keyed = good.withColumn("entry_id", t.entry_id(F.col("text")))
+        keyed = good.withColumn("entry_id", t.entry_id(F.col("text"))).withColumn("_at", F.monotonically_increasing_id())
         # of items with one text the last stands, with all its metadata
-        last = F.max_by(F.struct(*OPTIONAL), F.monotonically_increasing_id())
+        last = F.max_by(F.struct(*OPTIONAL), F.col("_at"))
         one = keyed.groupBy("workspace", "entry_id").agg(last.alias("_item"), F.first("text").alias("text")).select("workspace", "entry_id", "_item.*", "text")
         stamped = one.withColumn("created_at", F.lit(now)).withColumn("updated_at", F.lit(now)).withColumn("total_chars", F.length("text").cast("bigint"))
         old = self.table("entries")
