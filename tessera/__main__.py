@@ -48,12 +48,12 @@ def run(args: argparse.Namespace, store: Store) -> dict:
     embedder = HashEmbedder() if args.embed else None
     if args.command == "ingest":
         found = files.extract(files.scan(store.spark, args.folder)).cache()
-        items = found.where("error is null").selectExpr(f"'{args.workspace}' as workspace", "text", "kind as source_type", "path as source_ref")
+        items = found.where("error is null").selectExpr(f"'{args.workspace}' as workspace", "text", "kind as source_type", "path as source_ref", "pages", "chapters")
         refused = store.ingest(items, datetime.now().isoformat(timespec="seconds"), embedder, args.replace)
         return {"refused": _rows(refused.select("source_ref", "reason")), "unreadable": _rows(found.where("error is not null").select("path", "error"))}
     if args.command == "search":
         hits, search = store.search(args.query, embedder, args.limit, args.mode, args.workspace)
-        return {"hits": _rows(hits.orderBy("section_rank")), "mode": search.mode, "vector_available": search.vector_available}
+        return {"hits": _rows(hits.orderBy("section_rank")), "mode": search.mode, "vector_available": search.vector_available, **_rows(store.envelope(search))[0]}
     if args.command in ("section", "entry"):
         found = _rows(store.section(args.ref, args.max_chars) if args.command == "section" else store.entry(args.entry_id, most=args.max_chars))
         if not found:

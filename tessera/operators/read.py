@@ -21,14 +21,27 @@ def sections(anchors: DataFrame, entries: DataFrame) -> DataFrame:
     return rows.withColumn("_next", following).join(totals, "entry_id").select("entry_id", "section_no", "start", F.coalesce("_next", "_total").alias("stop"))
 
 
+def anchored(anchors: DataFrame, entries: DataFrame, step: int = SECTION_CHARS) -> DataFrame:
+    """(entry_id, section_no, start, stop, level, title): each anchor up to the next one or the end.
+
+    Headings have their own numbers, sub-sections -1, -2 and so on in text order, what is
+    before the first anchor has 0 and neither level nor title.
+    """
+    totals = entries.select("entry_id", F.col("total_chars").cast("bigint").alias("_total"))
+    none = lambda t: F.lit(None).cast(t)
+    fronts = totals.select("entry_id", F.lit(0).cast("bigint").alias("section_no"), F.lit(0).cast("bigint").alias("start"), none("bigint").alias("level"), none("string").alias("title"))
+    heads = anchors.select("entry_id", F.col("heading_no").cast("bigint").alias("section_no"), F.col("start").cast("bigint").alias("start"), F.col("level").cast("bigint").alias("level"), F.col("heading_text").alias("title"))
+    number = -F.row_number().over(W.partitionBy("entry_id").orderBy("start")).cast("bigint")
+    subs = subsections(anchors, entries, step=step).select("entry_id", number.alias("section_no"), "start", "level", "title")
+    rank = F.when(F.col("section_no") == 0, 0).when(F.col("section_no") > 0, 1).otherwise(2)
+    following = F.lead("start").over(W.partitionBy("entry_id").orderBy("start", rank, "section_no"))
+    rows = fronts.unionByName(heads).unionByName(subs).withColumn("_next", following)
+    return rows.join(totals, "entry_id").select("entry_id", "section_no", "start", F.coalesce("_next", "_total").alias("stop"), "level", "title")
+
+
 def subsection_spans(anchors: DataFrame, entries: DataFrame, step: int = SECTION_CHARS) -> DataFrame:
     """(entry_id, section_no, start, stop) of the sub-sections, numbered from 1: up to the next one, the next heading or the end."""
-    subs = subsections(anchors, entries, step=step).select("entry_id", "start", F.lit(True).alias("_sub"))
-    both = subs.unionByName(anchors.select("entry_id", F.col("start").cast("bigint").alias("start"), F.lit(False).alias("_sub")))
-    rows = both.withColumn("_next", F.lead("start").over(W.partitionBy("entry_id").orderBy("start", "_sub"))).where("_sub")
-    number = F.row_number().over(W.partitionBy("entry_id").orderBy("start")).cast("bigint")
-    totals = entries.select("entry_id", F.col("total_chars").cast("bigint").alias("_total"))
-    return rows.withColumn("section_no", number).join(totals, "entry_id").select("entry_id", "section_no", "start", F.coalesce("_next", "_total").alias("stop"))
+    return anchored(anchors, entries, step).where("section_no < 0").select("entry_id", (-F.col("section_no")).alias("section_no"), "start", "stop")
 
 
 def window(start: Column, stop: Column, at: Column, most: int) -> tuple[Column, Column]:
@@ -59,8 +72,9 @@ def parse_ref(ref: Column) -> Column:
 
 
 def section_ref(entry: Column, number: Column, at: Column) -> Column:
-    """The reference of a hit: its section (0 or null: the preface) and its place."""
-    head = F.when(F.coalesce(number, F.lit(0)) > 0, F.concat(entry, F.lit("#s"), number)).otherwise(F.concat(entry, F.lit("#front")))
+    """The reference of a hit: its section (0 or null: the preface, below 0: a sub-section) and its place."""
+    known = F.coalesce(number, F.lit(0))
+    head = F.when(known > 0, F.concat(entry, F.lit("#s"), number)).when(known < 0, F.concat(entry, F.lit("#u"), -number)).otherwise(F.concat(entry, F.lit("#front")))
     return F.when(at.isNotNull(), F.concat(head, F.lit("@"), at)).otherwise(head)
 
 

@@ -11,6 +11,7 @@ import re
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as t
@@ -18,9 +19,11 @@ from ..functions.embed import Embedder, embed_column
 from ..operators import anchors as a
 from ..operators import ingest as i
 from ..operators import read, verify
+from ..operators import retrieve as r
 from ..operators import segment as s
 from ..session import materialise
-from .search import Library, Search, plan, shaped
+from ..sources.subtitles import parse_srt
+from .search import Library, Search, detailed, plan
 
 NAME = re.compile("[A-Za-z0-9一-鿿_-]+")
 SCHEMAS = {
@@ -28,9 +31,30 @@ SCHEMAS = {
     "chunks": "entry_id string, chunk_no long, start long, stop long, chunk_text string, title string, author string, publisher string, publish_date string, workspace string",
     "vectors": "entry_id string, chunk_no long, win_start long, win_end long, embedding array<float>, workspace string",
     "headings": "entry_id string, heading_no long, start long, level long, heading_text string, workspace string",
+    "ledger": "entry_id string, start long, kind string, v1 long, v2 long, title string, workspace string",
     "workspaces": "created_at string, workspace string",
 }
 OPTIONAL = ("title", "source_type", "source_ref", "author", "publisher", "publish_date")
+#: Where the text comes from in its source: offsets of pages and chapters, or timed segments that make the text.
+ORIGIN = {"pages": "array<struct<start:bigint,page:bigint>>", "chapters": "array<struct<start:bigint,chapter:bigint,title:string>>", "segments": "array<struct<start_ms:bigint,end_ms:bigint,text:string>>"}
+PARTS = ("chunks", "headings", "vectors", "ledger")
+KEYS = ["workspace", "entry_id"]
+
+
+def _timed(items: DataFrame) -> DataFrame:
+    """Items whose segments, if they have any with text, make their text: trimmed, one a line."""
+    said = F.filter(F.transform(F.coalesce("segments", parse_srt(F.col("srt_text"))), lambda s: s.withField("text", F.trim(s["text"]))), lambda s: s["text"] != "")
+    kept = F.when(F.size(said) > 0, said)
+    return items.withColumn("segments", kept).drop("srt_text").withColumn("text", F.coalesce(F.array_join(F.transform("segments", lambda s: s["text"]), "\n"), "text"))
+
+
+def _ledger(entries: DataFrame) -> DataFrame:
+    """The ledger rows of entries with ``ORIGIN`` columns."""
+    keyed = entries.select(F.concat_ws("\0", *KEYS).alias("_key"), *ORIGIN)
+    part = lambda c: keyed.select("_key", F.posexplode(c).alias("_no", "_x")).select("_key", "_no", "_x.*")
+    rows = a.ledger(part("pages"), part("chapters"), a.segment_spans(part("segments"), "_key", ["_no"]), key="_key")
+    key = F.split("_key", "\0")
+    return rows.select(key[0].alias("workspace"), key[1].alias("entry_id"), "start", "kind", "v1", "v2", "title")
 
 
 class Store:
@@ -53,14 +77,18 @@ class Store:
         return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{name}")
 
     def _replace(self, name: str, rows: DataFrame, workspaces: Iterable[str]) -> None:
-        """Make ``rows`` all that ``name`` has of these workspaces."""
+        """Make ``rows`` all that ``name`` has of these workspaces.
+
+        The rows are rebalanced: small workspaces go to one file each, large ones are
+        split over many tasks by size.
+        """
         fields = [c for c in self.spark.createDataFrame([], SCHEMAS[name]).columns]
         ready = materialise(rows.select(*fields), name)
-        for w in workspaces:  # a workspace without rows has no partition to be overwritten with
-            if ready.where(F.col("workspace") == w).isEmpty():
-                path = self._path(f"{name}/workspace={w}")
-                self._files(path).delete(path, True)
-        ready.repartition("workspace").sortWithinPartitions(fields[0]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("workspace").parquet(f"{self.root}/{name}")
+        filled = {r.workspace for r in ready.select("workspace").distinct().collect()}  # at most those named
+        for w in set(workspaces) - filled:  # a workspace without rows has no partition to be overwritten with
+            path = self._path(f"{name}/workspace={w}")
+            self._files(path).delete(path, True)
+        ready.hint("rebalance", "workspace").sortWithinPartitions(fields[0]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("workspace").parquet(f"{self.root}/{name}")
 
     def _check(self, name: str) -> str:
         if not NAME.fullmatch(name):
@@ -98,19 +126,23 @@ class Store:
     # ingest and maintenance
 
     def ingest(self, items: DataFrame, now: str, embedder: Embedder | None = None, replace: bool = False) -> DataFrame:
-        """Add items (workspace, text, optional metadata); returns the refused ones with a reason.
+        """Add items (workspace, text, optional metadata and origin); returns the refused ones with a reason.
 
         The same text is the same entry: it is updated and keeps its created_at.
         Missing metadata comes from an older entry of the source; ``replace`` drops
-        older entries of a source that has a new one.
+        older entries of a source that has a new one, and a boolean column ``replace``
+        says so item by item (null: the argument). ``segments``, or ``srt_text`` that is
+        parsed into them, make the text of a timed item; ``pages`` and ``chapters`` give
+        offsets in ``text``. All of them go to the ledger.
         """
-        for c in OPTIONAL:
+        for c, kind in {"text": "string", "srt_text": "string", **dict.fromkeys(OPTIONAL, "string"), **ORIGIN, "replace": "boolean"}.items():
             if c not in items.columns:
-                items = items.withColumn(c, F.lit(None).cast("string"))
+                items = items.withColumn(c, F.lit(None).cast(kind))
+        items = _timed(items).withColumn("replace", F.coalesce("replace", F.lit(replace)))
         good, refused = i.split_rejects(items, "text", "workspace")
         keyed = good.withColumn("entry_id", t.entry_id(F.col("text"))).withColumn("_at", F.monotonically_increasing_id())
         # of items with one text the last stands, with all its metadata
-        last = F.max_by(F.struct(*OPTIONAL), F.col("_at"))
+        last = F.max_by(F.struct(*OPTIONAL, *ORIGIN, "replace"), F.col("_at"))
         one = keyed.groupBy("workspace", "entry_id").agg(last.alias("_item"), F.first("text").alias("text")).select("workspace", "entry_id", "_item.*", "text")
         stamped = one.withColumn("created_at", F.lit(now)).withColumn("updated_at", F.lit(now)).withColumn("total_chars", F.length("text").cast("bigint"))
         old = self.table("entries")
@@ -120,17 +152,18 @@ class Store:
         touched = sorted(r.workspace for r in new.select("workspace").distinct().collect())
         if not touched:
             return refused
-        keys = ["workspace", "entry_id"]
+        keys = KEYS
         pieces = s.chunks(new.withColumn("_key", F.concat_ws("\u0000", "workspace", "entry_id")), "_key")
         pieces = pieces.select(F.split("_key", "\u0000")[0].alias("workspace"), F.split("_key", "\u0000")[1].alias("entry_id"), "chunk_no", "start", "stop", F.col("body").alias("chunk_text"))
         chunks = pieces.join(new.select(*keys, "title", "author", "publisher", "publish_date"), keys)
         counted = new.join(pieces.groupBy(*keys).agg(F.count("*").alias("chunk_count")), keys, "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0).cast("bigint")))
         here = lambda name: self.table(name).where(F.col("workspace").isin(touched))
-        kept = here("entries")
-        if replace:
-            newer = new.where(F.col("source_ref").isNotNull()).select("workspace", "source_ref").distinct()
-            kept = kept.join(newer, ["workspace", "source_ref"], "left_anti")
-        merged = materialise(i.upsert(kept.withColumn("_k", F.struct(*keys)), counted.withColumn("_k", F.struct(*keys)), "_k").drop("_k"), "merged")
+        newer = new.where(F.col("source_ref").isNotNull() & F.col("replace")).select("workspace", "source_ref").distinct()
+        kept = here("entries").join(newer, ["workspace", "source_ref"], "left_anti")
+        plain = counted.drop(*ORIGIN, "replace").withColumn("_k", F.struct(*keys))
+        old_dates = here("entries").select(F.struct(*keys).alias("_k"), F.col("created_at").alias("_first"))
+        dated = plain.join(old_dates, "_k", "left").withColumn("created_at", F.coalesce("_first", "created_at")).drop("_first")
+        merged = materialise(i.upsert(kept.withColumn("_k", F.struct(*keys)), dated, "_k").drop("_k"), "merged")
         stays = merged.select(*keys)
 
         def rest(name: str) -> DataFrame:
@@ -138,6 +171,7 @@ class Store:
 
         self._replace("chunks", rest("chunks").unionByName(chunks), touched)
         self._replace("headings", rest("headings").unionByName(self._headings(new)), touched)
+        self._replace("ledger", rest("ledger").unionByName(_ledger(new)), touched)
         vectors = rest("vectors")
         if embedder:
             vectors = vectors.unionByName(self._vectors(pieces, embedder))
@@ -173,7 +207,7 @@ class Store:
         hit = (F.col("workspace") == workspace) & (F.col("entry_id") == entry_id)
         if self.table("entries").where(hit).isEmpty():
             return False
-        for name in ("entries", "chunks", "headings", "vectors"):
+        for name in ("entries", *PARTS):
             self._replace(name, self.table(name).where((F.col("workspace") == workspace) & ~hit), [workspace])
         return True
 
@@ -183,16 +217,16 @@ class Store:
 
     def vacuum(self, workspace: str) -> None:
         """Rewrite a workspace's files, few and sorted."""
-        for name in ("entries", "chunks", "headings", "vectors"):
+        for name in ("entries", *PARTS):
             self._replace(name, self.table(name).where(F.col("workspace") == workspace), [workspace])
 
     # reading
 
     def library(self) -> Library:
-        return Library(*(self.table(n) for n in ("entries", "chunks", "vectors", "headings")))
+        return Library(*(self.table(n) for n in ("entries", "chunks", "vectors", "headings", "ledger")))
 
     def search(self, text: str, embedder: Embedder | None = None, limit: int = 20, mode: str = "fused", workspaces: list[str] | None = None) -> tuple[DataFrame, Search]:
-        """(hits by section, the planned search)."""
+        """(hits by section with all their details, the planned search)."""
         known = self.names()
         for w in workspaces or []:
             if w.lstrip("@") not in known:
@@ -202,7 +236,21 @@ class Store:
         lib = self.library()
         vector = embedder.embed([text])[0].tolist() if embedder else None
         found = plan(lib, text, vector, limit, mode, [w.lstrip("@") for w in workspaces] if workspaces else None)
-        return shaped(lib, found), found
+        return detailed(lib, found), found
+
+    def envelope(self, search: Search) -> DataFrame:
+        """One row about a search: candidates, truncation, misses, the terms matched as plain substrings."""
+        row = r.envelope(search.candidates, search.keyword, self.table("vectors"), search.limit, search.allowed)
+        return row.withColumn("like_terms", F.array(*[F.lit(x) for x in search.like_terms]).cast("array<string>"))
+
+    def chunk_times(self, workspace: str) -> DataFrame:
+        """(entry_id, chunk_no, start_ms, end_ms) of the chunks of a workspace's timed entries."""
+        mine = F.col("workspace") == workspace
+        times = self.table("ledger").where(mine & (F.col("kind") == "time"))
+        following = F.lead("start").over(W.partitionBy("entry_id").orderBy("start"))
+        totals = self.table("entries").where(mine).select("entry_id", "total_chars")
+        spans = times.withColumn("_next", following).join(totals, "entry_id").select("entry_id", F.col("start").alias("char_start"), F.coalesce(F.col("_next") - 1, "total_chars").alias("char_end"), F.col("v1").alias("start_ms"), F.col("v2").alias("end_ms"))
+        return a.chunk_times(self.table("chunks").where(mine).join(times.select("entry_id").distinct(), "entry_id", "left_semi"), spans, "entry_id")
 
     def section(self, ref: str, most: int = read.READ_CHARS) -> DataFrame:
         """What a section reference names, around its place: a section, the front, or a sub-section (``#u``)."""
@@ -211,9 +259,10 @@ class Store:
         own = F.col("entry_id") == (one.entry_id if one else "")
         entries = self.table("entries").where(own).dropDuplicates(["entry_id"])
         heads = self.table("headings").where(own).dropDuplicates(["entry_id", "heading_no"])
-        found = read.subsection_spans(heads, entries) if one and one.kind == "u" else read.sections(heads, entries)
-        spans = found.join(p.withColumn("section_no", F.coalesce("number", F.lit(0).cast("bigint"))), ["entry_id", "section_no"])
-        return read.read_spans(spans.select("entry_id", "section_no", "start", "stop", "at"), entries, most)
+        number = F.coalesce(F.when(F.col("kind") == "u", -F.col("number")).otherwise(F.col("number")), F.lit(0).cast("bigint"))
+        spans = read.anchored(heads, entries).join(p.withColumn("section_no", number), ["entry_id", "section_no"])
+        shown = spans.select("entry_id", "section_no", "start", "stop", "at", F.col("title").alias("heading_text"), F.col("level").alias("heading_level"))
+        return read.read_spans(shown, entries, most)
 
     def entry(self, entry_id: str, chunk_no: int | None = None, most: int = read.READ_CHARS) -> DataFrame:
         """An entry's text, or one of its chunks, capped."""
@@ -229,8 +278,10 @@ class Store:
     def problems(self) -> DataFrame:
         """(check, problems) of the integrity checks, over all workspaces."""
         key = F.concat_ws("\u0000", "workspace", "entry_id")
-        lib = [df.withColumn("entry_id", key) for df in (self.table("entries"), self.table("chunks"), self.table("headings"))]
-        entries, chunks, heads = lib
+        entries, chunks, heads, ledger, vectors = (self.table(n).withColumn("entry_id", key) for n in ("entries", "chunks", "headings", "ledger", "vectors"))
+        known = entries.select("entry_id")
+        orphans = lambda df: df.select("entry_id").distinct().join(known, "entry_id", "left_anti")
         return verify.summary({
             "chunk_count": verify.chunk_counts(entries, chunks), "chunk_text": verify.text_mismatch(entries, chunks), "coverage": verify.coverage(entries, chunks), "heading_range": verify.headings_outside(entries, heads),
+            "chunk_index": verify.index_mismatch(entries, chunks, ("entry_id",)), "ledger_offset": verify.ledger_invalid(ledger), "ledger_orphan": orphans(ledger), "vector_orphan": orphans(vectors),
         })

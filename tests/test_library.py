@@ -25,7 +25,7 @@ def test_life_of_a_library(spark, tmp_path):
     assert store.names() == ["books", "notes"]
     entries = {(r.workspace, r.title): r for r in store.table("entries").collect()}
     assert set(entries) == {("notes", "One"), ("notes", "T"), ("books", "Book")} and entries["notes", "One"].chunk_count == 4
-    assert {r.check: r.problems for r in store.problems().collect()} == dict.fromkeys(("chunk_count", "chunk_text", "coverage", "heading_range"), 0)
+    assert {r.check: r.problems for r in store.problems().collect()} == dict.fromkeys(("chunk_count", "chunk_text", "coverage", "heading_range", "chunk_index", "ledger_offset", "ledger_orphan", "vector_orphan"), 0)
     counts = {r.workspace: (r.entries, r.chunks) for r in store.stats().collect()}
     assert counts == {"notes": (2, 5), "books": (1, 4)}
 
@@ -40,6 +40,8 @@ def test_life_of_a_library(spark, tmp_path):
     hits, search = store.search("delta topic", embedder, workspaces=["@notes"])
     top = hits.orderBy("section_rank").first()
     assert top.workspace == "notes" and "#" in top.section_ref and search.vector_available
+    about = store.envelope(search).first()
+    assert about.vectors_rows == store.table("vectors").count() and not about.keyword_miss and not about.truncated_by_limit and about.like_terms == []
     part = store.section(top.section_ref, 500).first()
     assert part.content in LONG + "short alpha text" + "new version alpha" and len(part.content) <= 500
     assert store.section("no ref").count() == 0
@@ -90,3 +92,54 @@ def test_command_line(spark, tmp_path, capsys):
     with pytest.raises(SystemExit) as e:
         main([*root, "nothing"])
     assert e.value.code == 2
+
+
+def test_origins_and_details(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/lib")
+    store.create("lib", "2024-01-01")
+    paged = "first page words\nmore\nsecond page kiwi words\n" + "filler line\n" * 20
+    second = paged.index("second")
+    long = "# Head\n" + "plain text here. " * 3000 + "papaya at the end"
+    srt = "1\n00:00:01,000 --> 00:00:02,500\n hello there \n\n2\n00:01:05,000 --> 00:01:06,000\nmango speech\n"
+    rows = [
+        {"workspace": "lib", "text": paged, "source_ref": "a.pdf", "pages": [{"start": 0, "page": 1}, {"start": second, "page": 2}]},
+        {"workspace": "lib", "text": "intro\nchapter with quince", "source_ref": "b.epub", "chapters": [{"start": 0, "chapter": 1, "title": "Intro"}, {"start": 6, "chapter": 2, "title": "Two"}]},
+        {"workspace": "lib", "srt_text": srt, "source_ref": "c.srt"},
+        {"workspace": "lib", "segments": [{"start_ms": 0, "end_ms": 900, "text": " "}, {"start_ms": 900, "end_ms": 1900, "text": "a durian talk"}], "text": "not used"},
+        {"workspace": "lib", "segments": [], "text": None},
+        {"workspace": "lib", "text": long, "source_ref": "d.md"},
+        {"workspace": "copy", "text": long},
+    ]
+    schema = "workspace string, text string, source_ref string, srt_text string, pages array<struct<start:bigint,page:bigint>>, chapters array<struct<start:bigint,chapter:bigint,title:string>>, segments array<struct<start_ms:bigint,end_ms:bigint,text:string>>"
+    refused = store.ingest(spark.createDataFrame(rows, schema), "2024-01-02")
+    assert [r.reason for r in refused.collect()] == ["empty_text"]
+    assert {r.text for r in store.table("entries").where("source_ref = 'c.srt' or source_ref is null and workspace = 'lib'").collect()} == {"hello there\nmango speech", "a durian talk"}
+    assert sorted((r.kind, r.start, r.v1, r.v2, r.title) for r in store.table("ledger").where("kind <> 'time'").collect()) == [("chapter", 0, 1, None, "Intro"), ("chapter", 6, 2, None, "Two"), ("page", 0, 1, None, None), ("page", second, 2, None, None)]
+    assert sorted((r.start, r.v1, r.v2) for r in store.table("ledger").where("kind = 'time'").collect()) == [(0, 900, 1900), (0, 1000, 2500), (12, 65000, 66000)]
+    assert sorted((r.start_ms, r.end_ms) for r in store.chunk_times("lib").collect()) == [(900, 1900), (1000, 66000)]
+
+    def hit(word, workspace="lib"):
+        found = store.search(word, workspaces=[workspace])[0].collect()
+        assert len(found) == 1
+        return found[0]
+
+    kiwi = hit("kiwi")
+    assert tuple(kiwi.source_location)[:2] == ("pdf", 2) and kiwi.start_ms is None and "『kiwi』" in kiwi.snippet and kiwi.locator.label == "pdf 2" and kiwi.section_ref.endswith(f"#front@{paged.index('kiwi')}")
+    assert kiwi.heading_text is None and kiwi.section_chars == len(paged)
+    quince = hit("quince")
+    assert (quince.source_location.kind, quince.source_location.n, quince.source_location.title) == ("epub", 2, "Two")
+    mango = hit("mango")
+    assert (mango.start_ms, mango.end_ms, mango.timestamp_precision, mango.locator.label) == (65000, 66000, "segment", "1:05") and mango.locator.link.endswith("&at=65")
+    papaya = hit("papaya")
+    assert (papaya.source_location.kind, papaya.source_location.n) == ("line", 2) and papaya.heading_text.startswith("Head") and "#u2@" in papaya.section_ref
+    part = store.section(papaya.section_ref, 200).first()
+    assert "papaya" in part.content and part.heading_text == papaya.heading_text and part.stop - part.start == papaya.section_chars == len(long) - 40000
+    both = store.search("papaya")[0].collect()
+    assert sorted(r.workspace for r in both) == ["copy", "lib"]
+
+    # item by item: the new version replaces what the source had, the other stays beside it
+    more = [("lib", "newer kiwi", "a.pdf", True), ("lib", "newer quince", "b.epub", None)]
+    store.ingest(spark.createDataFrame(more, "workspace string, text string, source_ref string, replace boolean"), "2024-02-01")
+    left = {(r.source_ref, r.n) for r in store.table("entries").where("workspace = 'lib'").groupBy("source_ref").agg(F.count("*").alias("n")).collect()}
+    assert left >= {("a.pdf", 1), ("b.epub", 2), ("c.srt", 1)}
+    assert store.table("ledger").where("kind = 'page'").count() == 0 and all(r.problems == 0 for r in store.problems().collect())
