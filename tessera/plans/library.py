@@ -236,6 +236,8 @@ class Store:
         lib = self.library()
         vector = embedder.embed([text])[0].tolist() if embedder else None
         found = plan(lib, text, vector, limit, mode, [w.lstrip("@") for w in workspaces] if workspaces else None)
+        # the hits, at most 100 short rows, are found once; what is joined to them is then a small plan
+        found.hits = self.spark.createDataFrame(found.hits.collect(), found.hits.schema)
         return detailed(lib, found), found
 
     def envelope(self, search: Search) -> DataFrame:
