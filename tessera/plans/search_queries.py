@@ -14,7 +14,8 @@ from ..operators import retrieve as r
 from ..session import materialise
 from . import model as m
 from .registry import query
-from .search import Library, plan, shaped
+from .search import Library, detailed, plan, shaped
+from .text_queries import ANCHORS_SQL
 
 LIMIT = 20
 DIMS = 64
@@ -239,6 +240,28 @@ def search_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shaped(lib, plan(lib, "tion the", VECTOR, LIMIT))
 
 
+#: Sections of hits by any anchor, and the text around the first term.
+ANY_SECTION_SQL = SECTION_SQL.replace("(SELECT max(heading_no) FROM headings h WHERE h.entry_id = p.entry_id AND h.start <= p.place)", "(SELECT arg_max(no, h.start) FROM anchors h WHERE h.entry_id = p.entry_id AND h.start <= p.place AND no <> 0)")
+AROUND = "CASE WHEN p IS NULL THEN left(s, 64) ELSE (CASE WHEN p > 32 THEN '…' ELSE '' END) || s[greatest(0, p - 32) + 1:p] || '『' || s[p + 1:p + 4] || '』' || s[p + 5:least(length(s), p + 32)] || (CASE WHEN p + 32 < length(s) THEN '…' ELSE '' END) END"
+
+
+@query(f"""WITH {ROUTES_SQL}, {FUSE_SQL}, {ANCHORS_SQL}, {ANY_SECTION_SQL},
+joined AS (SELECT m.*, e.title AS entry_title, e.source_ref, e.text, c.title AS heading_text, c.level AS heading_level, c.stop - c.start AS section_chars FROM merged m JOIN entries e USING (entry_id) JOIN anchored c ON c.entry_id = m.entry_id AND c.no = coalesce(m.section_no, 0)),
+shown AS (SELECT *, CASE WHEN unit = '0' THEN text ELSE heading_text END AS s, (length(text[1:place]) - length(replace(text[1:place], chr(10), '')) + 1)::BIGINT AS line FROM joined),
+sought AS (SELECT *, least(nullif(instr(lower(s), 'tion'), 0), nullif(instr(lower(s), 'the'), 0)) - 1 AS p FROM shown)
+SELECT section_rank, workspace, entry_id, entry_title AS title, unit, entry_id || CASE WHEN section_no > 0 THEN '#s' || section_no WHEN section_no < 0 THEN '#u' || -section_no ELSE '#front' END || '@' || place AS section_ref, heading_text, heading_level, section_chars,
+  {AROUND} AS snippet, 'line' AS place_kind, line AS place_no, source_ref, 'tessera://goto?ws=' || workspace || '&entry=' || entry_id AS link, 'line ' || line AS label, round(fs + vs + hs, 4) AS score, same_section_hits
+FROM sought""")
+def search_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search as a caller sees it: anchors with sub-sections, snippets, places in the source and links."""
+    lib = library(spark, sf_dir)
+    found = detailed(lib, plan(lib, "tion the", VECTOR, LIMIT), step=500)
+    return found.select(
+        "section_rank", "workspace", "entry_id", "title", "unit", "section_ref", "heading_text", "heading_level", "section_chars", "snippet", F.col("source_location.kind").alias("place_kind"),
+        F.col("source_location.n").alias("place_no"), "source_ref", F.col("locator.link").alias("link"), F.col("locator.label").alias("label"), "score", "same_section_hits",
+    )
+
+
 @query(f"WITH {ROUTES_SQL}, {FUSE_SQL} SELECT 'vector' AS mode, entry_id, round(1.0::DOUBLE / (60 + route_rank), 4) AS score FROM vector WHERE route_rank <= 20 UNION ALL SELECT 'fts', entry_id, round(1.0::DOUBLE / (60 + route_rank), 4) FROM keyword WHERE route_rank <= 20")
 def route_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same query by the vector route alone and by the keyword route."""

@@ -104,16 +104,30 @@ def running_header_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("entry_id").agg(F.count("*").alias("kept"), F.count_if(F.col("level") > 2).alias("deep"))
 
 
-@query(f"""WITH {m.ENTRIES_SQL}, {m.LINES_SQL}, {m.HEADINGS_SQL},
+SUBS_SQL = """
 gaps AS (SELECT entry_id, start, level, heading_text, coalesce(lead(start) OVER (PARTITION BY entry_id ORDER BY start, pre DESC), total) AS stop, count(*) OVER (PARTITION BY entry_id) AS n, pre FROM (
   SELECT h.entry_id, start, level, heading_text, total_chars AS total, 0 AS pre FROM headings h JOIN entries USING (entry_id) UNION ALL SELECT entry_id, 0, NULL, '卷首', total_chars, 1 FROM entries)),
-placed AS (SELECT *, unnest(range(1, 1 + greatest(0, ceil((stop - start) / 500.0)::BIGINT - CASE WHEN n = 1 AND pre = 1 THEN 2 ELSE 1 END))) AS i FROM gaps)
-SELECT entry_id, (start + i * 500)::BIGINT AS start, level, heading_text || '·续' || i AS title FROM placed""")
+stepped AS (SELECT *, unnest(range(1, 1 + greatest(0, ceil((stop - start) / 500.0)::BIGINT - CASE WHEN n = 1 AND pre = 1 THEN 2 ELSE 1 END))) AS i FROM gaps),
+subs AS (SELECT entry_id, (start + i * 500)::BIGINT AS start, level, heading_text || '·续' || i AS title FROM stepped)"""
+#: Headings, sub-sections (negative numbers) and fronts (0), each up to the next of them.
+ANCHORS_SQL = f"""{SUBS_SQL},
+anchors AS (SELECT entry_id, heading_no AS no, start, level, heading_text AS title FROM headings UNION ALL SELECT entry_id, -row_number() OVER (PARTITION BY entry_id ORDER BY start), start, level, title FROM subs UNION ALL SELECT entry_id, 0, 0, NULL, NULL FROM entries),
+anchored AS (SELECT s.entry_id, no, start, coalesce(lead(start) OVER (PARTITION BY s.entry_id ORDER BY start, CASE WHEN no = 0 THEN 0 WHEN no > 0 THEN 1 ELSE 2 END, no), total_chars) AS stop, level, s.title FROM anchors s JOIN entries USING (entry_id))"""
+
+
+@query(f"WITH {m.ENTRIES_SQL}, {m.LINES_SQL}, {m.HEADINGS_SQL}, {SUBS_SQL} SELECT * FROM subs")
 def subsections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anchors every 500 characters inside longer gaps."""
     return a.subsections(m.headings(spark, sf_dir), m.entries(spark, sf_dir), step=500)
 
 
+@query(f"WITH {m.ENTRIES_SQL}, {m.LINES_SQL}, {m.HEADINGS_SQL}, {ANCHORS_SQL} SELECT entry_id, no AS section_no, start, stop, level, title FROM anchored")
+def anchored_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that a section reference can name: headings, sub-sections and fronts with their ends."""
+    e = m.entries(spark, sf_dir)
+    return read.anchored(m.headings(spark, sf_dir, e), e, step=500)
+
+
 @query(f"""WITH {m.ENTRIES_SQL}, {m.LINES_SQL},
 pages AS (SELECT entry_id, line_no // 4 + 1 AS page, min(start) AS start FROM lines GROUP BY ALL),
 fixed AS (SELECT p.entry_id, p.start, 1::BIGINT AS level, left(line, 20) AS heading_text, 0 AS src FROM pages p JOIN lines l ON l.entry_id = p.entry_id AND l.start = p.start),
