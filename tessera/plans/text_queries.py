@@ -69,7 +69,25 @@ def line_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.lines(spark, sf_dir).select("entry_id", "line_no", "start", F.length("line").cast("bigint").alias("chars"))
 
 
-@query()
+#: One step a piece: a part is cut at its last sentence end, and a slice ends before the piece that would overfill it.
+SLICES_SQL = rf"""WITH RECURSIVE {m.ENTRIES_SQL},
+split AS (SELECT entry_id, list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda x: trim(x, ' ' || chr(10) || chr(9) || chr(13))), lambda x: x <> '') AS paras, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> '') AS rows FROM entries),
+parts AS (SELECT entry_id, CASE WHEN len(paras) > 1 THEN paras ELSE rows END AS parts FROM split),
+steps AS (
+  SELECT entry_id, parts, 1 AS part_no, parts[1] AS rest, '' AS held, 0 AS size, 0 AS slice_no, NULL::VARCHAR AS done FROM parts
+  UNION ALL
+  SELECT entry_id, parts, CASE WHEN after = '' THEN part_no + 1 ELSE part_no END, CASE WHEN after = '' THEN parts[part_no + 1] ELSE after END,
+    CASE WHEN full_up AND tail = '' OR held = '' THEN piece WHEN full_up THEN tail || chr(10) || chr(10) || piece ELSE held || chr(10) || chr(10) || piece END,
+    (CASE WHEN full_up THEN length(tail) ELSE size END + length(piece) + 1)::INTEGER, slice_no + full_up::INTEGER, CASE WHEN full_up THEN held END
+  FROM (SELECT *, held <> '' AND size + length(piece) + 1 > 1000 AS full_up, trim(held[greatest(1, length(held) - 99):], ' ' || chr(10) || chr(9) || chr(13)) AS tail
+    FROM (SELECT *, trim(rest[1:cut], ' ' || chr(9) || chr(13)) AS piece, trim(rest[cut + 1:], ' ' || chr(9) || chr(13)) AS after
+      FROM (SELECT *, CASE WHEN length(rest) <= 1000 THEN length(rest) WHEN stop > 501 THEN stop ELSE 1000 END AS cut
+        FROM (SELECT *, length(regexp_extract(rest[1:1000], '(?s)^.*[。！？.!?\n]')) AS stop FROM steps WHERE rest IS NOT NULL)))))
+SELECT entry_id, slice_no::BIGINT AS slice_no, length(body)::BIGINT AS chars, left(sha256(body), 16) AS sha256
+FROM (SELECT entry_id, slice_no - 1 AS slice_no, done AS body FROM steps WHERE done IS NOT NULL UNION ALL SELECT entry_id, slice_no, held FROM steps WHERE rest IS NULL)"""
+
+
+@query(SLICES_SQL)
 def slice_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The slices' manifest (sizes and hashes) with slices of 1,000 characters; a recurrence over joined texts."""
     return s.slice_manifest(m.entries(spark, sf_dir), size=1000, overlap=100)
