@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, licenses, packing, quality, simhash, suffix_dedup, topk, warc
+from . import bpe, chat, langid, lexical, licenses, packing, quality, simhash, suffix_dedup, topk, warc
 from ..session import materialise, shared_folder
 
 
@@ -73,6 +73,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_documents(_table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=50)
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_chat_formatting": op2_chat_formatting,
@@ -84,6 +88,7 @@ QUERIES = {
     "op8_warc_archives": op8_warc_archives,
     "op9_packing": op9_packing,
     "op10_license_scan": op10_license_scan,
+    "op11_lexical_search": op11_lexical_search,
 }
 
 ESCAPED = "replace({0}, chr(92), chr(92) || chr(92))"
@@ -136,4 +141,21 @@ SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
 FROM p JOIN f USING (html)
 """,
     "op10_license_scan": licenses.oracle_sql(),
+    "op11_lexical_search": r"""
+WITH words AS (
+  SELECT doc_id, row, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS row, doc_id, text FROM documents WHERE doc_id IS NOT NULL)
+),
+counted AS (SELECT row, any_value(doc_id) AS doc_id, term, count(*)::BIGINT AS tf FROM words GROUP BY row, term),
+lengths AS (SELECT row, sum(tf)::BIGINT AS n FROM counted GROUP BY row),
+whole AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM lengths),
+weights AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*)::BIGINT AS df FROM counted GROUP BY term), whole),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark WHERE item_id IS NOT NULL),
+scored AS (
+  SELECT item_id, row, any_value(doc_id) AS doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms))))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN counted USING (term) JOIN lengths USING (row), whole GROUP BY item_id, row
+),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+""",
 }
