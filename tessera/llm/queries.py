@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, divergence, langid, lexical, licenses, packing, quality, simhash, suffix_dedup, topk, warc
+from . import bpe, chat, divergence, langid, lexical, licenses, packing, quality, simhash, suffix_dedup, topk, warc, wrappers
 from ..session import materialise, shared_folder
 
 
@@ -77,6 +77,10 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=50)
 
 
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract_main_text(_table(spark, sf_dir, "pages"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit_sources(_table(spark, sf_dir, "documents"), min_documents=3, k=200)
 
@@ -93,6 +97,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_license_scan": op10_license_scan,
     "op11_lexical_search": op11_lexical_search,
+    "op12_main_text": op12_main_text,
     "op13_source_divergence": op13_source_divergence,
 }
 
