@@ -1,8 +1,9 @@
 """Ranked lexical search: block-max pruning over a forward index of document ranges.
 
 Documents lie in blocks, ranges of rows as they are stored. A block is one row of the
-index: the forward lists of its documents (numbers of terms, frequencies) and, for each
-term it holds, the number of documents with it and the maximum of its impact on any of them. Queries are taken in rounds of a bounded number of terms, and each round is
+index: the forward lists of its documents (packed) and, for each term it holds, the
+number of documents with it and the maximum of its impact on any of them. Queries are
+taken in rounds of a bounded number of terms, and each round is
 
 1. Document frequencies of the round's terms, added up over the blocks.
 2. Bounds: a block's bound for a query is the sum of weight times maximum. Of each query
@@ -26,6 +27,7 @@ table gives an empty result; extra columns are ignored. A very long text is a bl
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -40,13 +42,13 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 
-#: A term, as a pattern of the JVM's regular expressions: digits, letters and all beyond ASCII.
-TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Terms are runs of digits, letters and all beyond ASCII: the bytes of terms, and a space for others.
 _BYTES = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256)).lower()
 BLOCK_ROWS, BLOCK_POSTINGS = 16, 1 << 17
 SEEDS = 16
+PIECE = 256
 ROUND_TERMS, ROUND_ITEMS = 1 << 17, 2048
-INDEX = "block_id long, ids binary, ends binary, term_no binary, worth binary, terms array<binary>, df binary, best binary"
+INDEX = "block_id long, documents long, postings long, lists binary, terms binary, df binary, best binary"
 
 
 def terms_of(text: str) -> list[bytes]:
@@ -71,10 +73,16 @@ def _numbers(column: pa.Array, at: int, kind: type = np.int64) -> np.ndarray:
 def build_index(documents: DataFrame) -> tuple[DataFrame, int]:
     """(blocks, number of documents with a term) of ``documents`` (doc_id, text)."""
     rows = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
-    count = F.regexp_count("text", F.lit(TERM)).cast("bigint")
-    known = rows.select(count.alias("n")).agg(F.count_if(F.col("n") > 0).alias("documents"), F.sum("n").alias("terms")).first()
-    n_documents, n_terms = known.documents, known.terms or 0
-    schema = pa.schema([("block_id", pa.int64()), *[(c, pa.binary()) for c in ("ids", "ends", "term_no", "worth")], ("terms", pa.list_(pa.binary())), ("df", pa.binary()), ("best", pa.binary())])
+    counted = pa.schema([("documents", pa.int64()), ("terms", pa.int64())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [len(terms_of(text.as_py())) for text in batch.column(0)]
+            yield _out(counted, [sum(n > 0 for n in sizes)], [sum(sizes)])
+
+    known = rows.select("text").mapInArrow(count, "documents long, terms long").agg(F.sum("documents").alias("documents"), F.sum("terms").alias("terms")).first()
+    n_documents, n_terms = known.documents or 0, known.terms or 0
+    schema = pa.schema([(c, pa.int64()) for c in ("block_id", "documents", "postings")] + [(c, pa.binary()) for c in ("lists", "terms", "df", "best")])
 
     def block(number: int, ids: list[int], found: list[Counter]) -> pa.RecordBatch:
         vocabulary: dict[bytes, int] = {}
@@ -86,7 +94,8 @@ def build_index(documents: DataFrame) -> tuple[DataFrame, int]:
         best = np.zeros(len(vocabulary), np.int64)
         np.maximum.at(best, term_no, worth)
         df = np.bincount(term_no, minlength=len(vocabulary))
-        values = [number, np.array(ids, np.int64).tobytes(), sizes.cumsum().tobytes(), term_no.tobytes(), worth.astype(np.int32).tobytes(), list(vocabulary), df.astype(np.int64).tobytes(), best.tobytes()]
+        lists = b"".join([np.array(ids, np.int64).tobytes(), sizes.astype(np.int64).tobytes(), term_no.tobytes(), worth.astype(np.int32).tobytes()])
+        values = [number, len(ids), len(term_no), pa.compress(lists, codec="zstd", asbytes=True), b" ".join(vocabulary), df.astype(np.int32).tobytes(), best.astype(np.int32).tobytes()]
         return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,11 +143,11 @@ class Round:
 
     def asked(self, batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
         """Of each block of a batch: (numbers in the round, numbers in the block) of the terms that the round asks for."""
-        terms = batch.column("terms")
-        at = pc.index_in(terms.flatten(), value_set=self.vocabulary)
+        terms = [t.as_py().split(b" ") for t in batch.column("terms")]
+        at = pc.index_in(pa.array(itertools.chain.from_iterable(terms), pa.binary()), value_set=self.vocabulary)
         here = np.flatnonzero(pc.is_valid(at).to_numpy(zero_copy_only=False))
         found = at.take(pa.array(here)).to_numpy(zero_copy_only=False).astype(np.int64)
-        ends = pc.list_value_length(terms).to_numpy(zero_copy_only=False).cumsum()
+        ends = np.cumsum([len(t) for t in terms])
         cuts = np.searchsorted(here, ends)
         return [(found[a:b], here[a:b] - first) for a, b, first in zip([0, *cuts[:-1]], cuts, [0, *ends[:-1]], strict=True)]
 
@@ -147,7 +156,7 @@ class Round:
         out = np.zeros((batch.num_rows, len(self.items)), np.int64)
         for at, (terms, here) in enumerate(asked):
             if len(terms):
-                best = _numbers(batch.column("best"), at)[here]
+                best = _numbers(batch.column("best"), at, np.int32)[here].astype(np.int64)
                 sizes = self.starts[terms + 1] - self.starts[terms]
                 first = np.repeat(self.starts[terms] - np.concatenate([[0], sizes.cumsum()[:-1]]), sizes)
                 np.add.at(out[at], self.members[first + np.arange(len(first))], np.repeat(self.weights[terms] * best, sizes))
@@ -165,9 +174,11 @@ class Block:
     def scores(self, queries: Round, q: int) -> tuple[np.ndarray, np.ndarray]:
         """(scores, doc_ids) of the block's documents with a score above 0."""
         if self.lists is None:
-            of = lambda name, kind=np.int64: _numbers(self.batch.column(name), self.at, kind)
-            term_no = of("term_no", np.int32)
-            self.lists = of("ids"), np.concatenate([[0], of("ends")[:-1]]), term_no, of("worth", np.int32), np.zeros(term_no.max() + 1, np.int64)
+            documents, postings = (self.batch.column(c)[self.at].as_py() for c in ("documents", "postings"))
+            packed = pa.decompress(self.batch.column("lists")[self.at].as_buffer(), 16 * documents + 8 * postings, codec="zstd", asbytes=True)
+            ids, sizes = np.frombuffer(packed, np.int64, 2 * documents).reshape(2, -1)
+            term_no, worth = np.frombuffer(packed, np.int32, 2 * postings, 16 * documents).reshape(2, -1)
+            self.lists = ids, np.concatenate([[0], sizes.cumsum()[:-1]]), term_no, worth, np.zeros(term_no.max() + 1, np.int64)
         ids, starts, term_no, worth, weights = self.lists
         wanted = queries.of_item[q]
         place = np.minimum(np.searchsorted(self.terms, wanted), len(self.terms) - 1)
@@ -188,14 +199,21 @@ def _out(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``PIECE`` blocks at a time, which bounds what a task holds beside its batch."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, PIECE):
+            yield batch.slice(at, PIECE)
+
+
 def _frequencies(queries: Round) -> Callable:
     schema = pa.schema([("term", pa.int64()), ("df", pa.int64())])
 
     def run(batches):
         total = np.zeros(len(queries.vocabulary), np.int64)
-        for batch in batches:
+        for batch in _pieces(batches):
             for at, (terms, here) in enumerate(queries.asked(batch)):
-                total[terms] += _numbers(batch.column("df"), at)[here]  # a block has a term once
+                total[terms] += _numbers(batch.column("df"), at, np.int32)[here]  # a block has a term once
         yield _out(schema, np.flatnonzero(total), total[total > 0])
 
     return run
@@ -207,7 +225,7 @@ def _seeds(queries: Round) -> Callable:
     def run(batches):
         n = len(queries.items)
         bounds, blocks = np.zeros((n, 0), np.int64), np.zeros((n, 0), np.int64)
-        for batch in batches:
+        for batch in _pieces(batches):
             new, ids = queries.bounds(batch, queries.asked(batch)), batch.column("block_id").to_numpy()
             bounds, blocks = np.hstack([bounds, new.T]), np.hstack([blocks, np.broadcast_to(ids, (n, len(ids)))])
             top = np.argpartition(-bounds, min(SEEDS, bounds.shape[1] - 1), axis=1)[:, :SEEDS]
@@ -222,7 +240,7 @@ def _seed_scores(queries: Round, k: int) -> Callable:
     schema = pa.schema([("item", pa.int64()), ("score", pa.int64())])
 
     def run(batches):
-        for batch in batches:
+        for batch in _pieces(batches):
             items, scores = [], []
             for at, (terms, here) in enumerate(queries.asked(batch)):
                 block = Block(batch, at, terms, here)
@@ -243,7 +261,7 @@ def _search(queries: Round, thresholds: np.ndarray, k: int) -> Callable:
         none = np.zeros(0, np.int64)
         found = [(none, none)] * len(queries.items)
         scored = seen = 0
-        for batch in batches:
+        for batch in _pieces(batches):
             asked = queries.asked(batch)
             table = queries.bounds(batch, asked)
             blocks = [Block(batch, at, *own) for at, own in enumerate(asked)]
