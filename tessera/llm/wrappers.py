@@ -48,7 +48,7 @@ CLOSED_BY_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
 SCOPES = frozenset("ul ol dl table div section article main aside nav header footer form blockquote body html".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-LEAVES = HEADINGS | frozenset("p li td th dt dd pre blockquote figcaption caption tr".split())
+LEAVES = HEADINGS | frozenset("p li td th dt dd pre blockquote figure figcaption caption tr ul ol dl table header".split())
 # Tags and words in class, id, role and label that mark what isn't main text.
 NOISE_TAGS = frozenset("head script style nav header footer aside form button select textarea template noscript iframe svg dialog menu object canvas audio video title".split())
 NOISE_WORDS = frozenset(
@@ -138,6 +138,10 @@ def parse(html: str) -> Element:
                 end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)  # an inline advert or label
                 at = end.end() if end else at
             continue
+        if tag in RAW and not closing:  # not part of a text, and no end of one
+            end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
+            at = end.end() if end else size
+            continue
         flush()
         if closing:
             for depth in range(len(stack) - 1, 0, -1):
@@ -149,10 +153,6 @@ def parse(html: str) -> Element:
                     break
             depth_a = 0
             continue
-        if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
-            at = end.end() if end else size
-            continue
         depth_a = 0
         closes = CLOSES.get(tag, CLOSED_BY_BLOCKS)
         for depth in range(len(stack) - 1, 0, -1):
