@@ -70,13 +70,13 @@ def _own_path(spark: SparkSession, name: str) -> str:
 
 
 def bucketed(df: DataFrame, n: int, column: str) -> DataFrame:
-    """Write ``df`` as a table in ``n`` buckets of ``column`` in the warehouse and read it back.
+    """Write ``df`` as a table in ``n`` buckets of ``column`` to the shared folder and read it back.
 
     Joins on ``column`` with rows in ``n`` partitions by it don't shuffle the table.
     The table is dropped when the driver process ends.
     """
     spark, name = df.sparkSession, f"tessera_{uuid.uuid4().hex}"
-    df.write.bucketBy(n, column).sortBy(column).format("parquet").saveAsTable(name)
+    df.write.bucketBy(n, column).sortBy(column).format("parquet").option("path", shared_folder(spark, name)).saveAsTable(name)
     atexit.register(_drop, spark, name)
     return spark.table(name)
 
