@@ -148,12 +148,23 @@ def anchors_of(bodies: list[str], threshold: float) -> tuple[list[list[str]], li
 
 
 def _anchored(pairs: Column, size: Column, t: Column, threshold: float) -> Column:
-    """The runs of the template's number of bigrams that hold an anchor and enough of its bigrams."""
-    hits = F.filter(F.transform(pairs, lambda p, i: F.when(F.array_contains(t["anchors"], p), i)), lambda i: i.isNotNull())
-    first, last = lambda i: F.greatest(F.lit(0), i - t["n"] + 1), lambda i: F.least(i, size - t["n"])
-    starts = F.array_distinct(F.flatten(F.transform(F.filter(hits, lambda i: first(i) <= last(i)), lambda i: F.sequence(first(i), last(i)))))
-    runs = F.transform(starts, lambda s: F.slice(pairs, s + 1, t["n"]))
-    return F.filter(runs, lambda r: F.size(F.filter(r, lambda p: F.array_contains(t["plain"], p))) >= F.ceil(t["n"] * threshold - 1e-9))
+    """The best Dice coefficient of a run of as many bigrams as the template's, if it reaches the threshold.
+
+    Only runs that begin at a bigram of the template count: later starts up to the next one
+    hold no more of it. A run is looked at if it has more of the template's bigrams, by
+    their places alone, than the best one so far shares; so the work is linear in the text.
+    """
+    n, need = t["n"], F.ceil(t["n"] * threshold - 1e-9).cast("int")
+    hits = F.filter(F.transform(pairs, lambda p, i: F.when(F.array_contains(t["plain"], p), i)), lambda i: i.isNotNull())
+
+    def best(places: Column) -> Column:
+        shared = lambda start: F.size(F.array_intersect(numbered(F.slice(pairs, start + 1, n)), t["bigrams"]))
+        more = lambda most, j: F.coalesce(F.get(places, j + most) - F.get(places, j) < n, F.lit(False))
+        step = lambda most, j: F.when(more(most, j), F.greatest(most, shared(F.least(F.get(places, j), size - n)))).otherwise(most)
+        return F.when(F.size(places) >= need, F.aggregate(F.sequence(F.lit(0), F.size(places) - 1), need - 1, step))
+
+    found = F.element_at(F.transform(F.array(hits), best), 1)
+    return F.when((size >= n) & (found >= need), F.lit(2.0) * found / (n + n))
 
 
 def license_matches(text: Column, threshold: float = THRESHOLD, templates: list[tuple[str, str]] | None = None) -> Column:
@@ -183,8 +194,8 @@ def license_matches(text: Column, threshold: float = THRESHOLD, templates: list[
             def best(t: Column) -> Column:
                 fair = lambda u: F.size(u).between(t["n"] * threshold / (2 - threshold), t["n"] * (2 - threshold) / threshold)
                 sized = F.filter(x["units"], lambda u: fair(u) & F.arrays_overlap(u, t["anchors"]))
-                units = F.concat(sized, _anchored(x["pairs"], F.size(x["pairs"]), t, threshold))
-                return F.struct(F.array_max(F.transform(F.transform(units, numbered), lambda u: dice(u, t))).alias("dice"), t["license"].alias("license"))
+                units = F.array_max(F.transform(F.transform(sized, numbered), lambda u: dice(u, t)))
+                return F.struct(F.greatest(units, _anchored(x["pairs"], F.size(x["pairs"]), t, threshold)).alias("dice"), t["license"].alias("license"))
 
             return F.filter(F.transform(near, best), lambda d: F.coalesce(d["dice"] >= threshold, F.lit(False)))
 
