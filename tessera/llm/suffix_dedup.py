@@ -468,10 +468,18 @@ def _cut_texts(names: list[str], nulls: str):
     return apply
 
 
+MOST_BUCKETS = 1 << 16
+
+
+def bucket_count(size: int) -> int:
+    """Buckets of the batch table: about two batches a task, more of them beyond ``MOST_BUCKETS`` (tables have less than 100,000)."""
+    return min(max(8, size >> 23), MOST_BUCKETS)
+
+
 def _prepared(source: DataFrame) -> DataFrame:
     """The batch table joined with the results that each batch needs."""
     size = source.agg(F.sum(F.octet_length(TEXT).cast("bigint"))).first()[0] or 0
-    parts, bits = max(8, size >> 23), max(4, math.ceil(math.log2(max(size >> 22, 1))))  # about two batches a task
+    parts, bits = bucket_count(size), max(4, math.ceil(math.log2(max(size >> 22, 1))))
     batches = bucketed(source.mapInArrow(batches_of, "batch long, rest binary, sizes binary, text binary"), parts, "batch")
     classes = batches.mapInArrow(_classes(bits), "bucket long, batch long, found binary")
     sorted_out = materialise(classes.groupBy("bucket").applyInArrow(_resolve, "kind int, bucket long, batch long, found binary"), "resolved")
