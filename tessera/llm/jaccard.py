@@ -303,7 +303,7 @@ def near_duplicates(documents: DataFrame, width: int = WIDTH) -> DataFrame:
         rooted = still_open(shared, simhash.connected(links, "rounds"), nodes)
         more = verified(open_pairs(rooted, most), documents, nodes, width)
         if more.isEmpty():
-            break  # a node without a partner in this round has none in the next
+            continue  # the best by bit maps may all be wrong, as maps of long texts are full
         links = materialise(links.unionByName(more), "links")
     ids = prints.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("b"), F.max("fp").alias("top")).where("b <> top")
     repeated = prints.join(ids, "doc_id").select(F.col("fp").alias("a"), "b")
