@@ -84,6 +84,8 @@ MAPPINGS: dict[str, tuple[list[str], str, str]] = {
     "instruction_input": (["input", "instruction", "output"], "instruction string, input string, output string", _pair(_JOINED, "output")),
     "question": (["answer", "question"], "question string, answer string", _pair("question", "answer")),
 }
+#: Layouts whose content may be a string in one record or turn and a list of parts in another, as they are read from JSON.
+MIXED = {"messages": MAPPINGS["messages_parts"][1:], "conversation": ("conversations array<struct<role: string, content: variant>>", _list("conversations", "m.role", _PARTS))}
 BY_FINGERPRINT = {fingerprint_of(paths): name for name, (paths, _, _) in MAPPINGS.items()}
 
 
@@ -155,7 +157,8 @@ def canonical_json(records: DataFrame, key: str, column: str = "record") -> Data
     """
     routed = route_json(records, key, column)
     found = None
-    for name, (_, schema, expression) in MAPPINGS.items():
+    for name, (_, *mapping) in MAPPINGS.items():
+        schema, expression = MIXED.get(name, mapping)
         one = routed.where(F.col("layout") == name).select(F.col(key).alias("_key"), F.from_json("record", schema).alias("r")).select("_key", "r.*")
         part = one.select(F.col("_key").alias(key), F.inline(F.expr(expression).cast(TURNS)))
         found = part if found is None else found.unionByName(part)
