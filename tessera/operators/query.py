@@ -161,8 +161,11 @@ def _near(item: Near, columns: Callable[[str], Column]) -> Column:
     return reduce(Column.__or__, [hit(c) for c in TEXT_COLUMNS])
 
 
-def condition(query: Query, columns: Callable[[str], Column], names: tuple[str, ...] = TEXT_COLUMNS) -> Column | None:
-    """The boolean Column of a query's expression; ``columns`` gives the Column of a text column name."""
+def condition(query: Query, columns: Callable[[str], Column], names: tuple[str, ...] = TEXT_COLUMNS, known: Callable[[Term | Near], Column] | None = None) -> Column | None:
+    """The boolean Column of a query's expression; ``columns`` gives the Column of a text column name.
+
+    ``known`` gives whether a term or NEAR group holds where that is known already, as from an index.
+    """
     items = list(query.items)
     if not items:
         return None
@@ -170,9 +173,11 @@ def condition(query: Query, columns: Callable[[str], Column], names: tuple[str,
 
     def one(item) -> Column | None:
         if isinstance(item, Near):
-            return _near(item, columns)
+            return known(item) if known else _near(item, columns)
         if len(item.body) < TRIGRAM:
             return None  # no trigram: nothing matches, and beside other terms it doesn't count
+        if known:
+            return known(item)
         return reduce(Column.__or__, [contains(columns(c), item.body) for c in item.columns if c in names] or [F.lit(False)])
 
     def beside() -> Column:

@@ -7,12 +7,14 @@ needed only to compute scores; they never go through a sort or a join.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import postings
 from . import query as q
 
 KEYWORD_RECALL, HEADING_RECALL = 500, 200
@@ -50,20 +52,51 @@ def bm25(table: DataFrame, query: q.Query, columns: tuple[str, ...], group: str
     whole = counted.groupBy(F.col(group).alias("_group")).agg(
         F.count("*").cast("double").alias("_n"), F.avg("_length").alias("_mean"), *[F.count_if(F.col(f"_f{i}") > 0).cast("double").alias(f"_n{i}") for i in range(len(terms))]
     )
+    joined = counted.join(whole, F.col(group).eqNullSafe(F.col("_group")))
+    return joined.select(*table.columns, _bm25_of(len(terms)).alias("bm25"))
+
+
+def _bm25_of(n_terms: int) -> Column:
+    """BM25 (lower is better) from _f<i>, _length and the statistics _n, _mean and _n<i>."""
 
     def part(i: int) -> Column:
         idf = F.log((F.col("_n") - F.col(f"_n{i}") + 0.5) / (F.col(f"_n{i}") + 0.5))
         f = F.col(f"_f{i}")
         return F.when(idf > 0, idf).otherwise(IDF_FLOOR) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_length") / F.col("_mean")))
 
-    joined = counted.join(whole, F.col(group).eqNullSafe(F.col("_group")))
-    score = -sum((part(i) for i in range(len(terms))), F.lit(0.0))
-    return joined.select(*table.columns, score.alias("bm25"))
+    return -sum((part(i) for i in range(n_terms)), F.lit(0.0))
+
+
+@dataclass
+class KeywordIndex:
+    """The stored index of ``postings.build`` and its statistics by workspace."""
+
+    postings: DataFrame
+    statistics: DataFrame
 
 
-def keyword_route(chunks: DataFrame, query: q.Query, limit: int = 20, allowed: DataFrame | None = None) -> DataFrame:
+def indexed_matches(index: KeywordIndex, query: q.Query) -> DataFrame:
+    """Key, start, bm25, coverage, tf and first of the chunks that a query's expression holds for, from the index alone."""
+    terms, groups = query.terms, [i for i in query.items if isinstance(i, q.Near)]
+    counted = postings.term_counts(index.postings, query)
+    frequency = counted.groupBy(F.col("workspace").alias("_group")).agg(*[F.count_if(F.col(f"_f{i}") > 0).cast("double").alias(f"_n{i}") for i in range(len(terms))])
+    whole = index.statistics.select("workspace", F.col("n").cast("double").alias("_n"), (F.col("length") / F.col("n")).alias("_mean"))
+
+    def known(item: q.Term | q.Near) -> Column:
+        if isinstance(item, q.Near):
+            return F.col(f"_near{[g is item for g in groups].index(True)}")
+        return F.col(f"_f{[(t.body, t.column) for t in terms].index((item.body, item.column))}") > 0
+
+    joined = counted.join(frequency, F.col("workspace").eqNullSafe(F.col("_group"))).drop("_group").join(whole, "workspace")
+    return joined.where(q.condition(query, F.col, known=known)).select(*KEY, "start", F.round(_bm25_of(len(terms)), 12).alias("bm25"), "coverage", "tf", "first")
+
+
+def keyword_route(chunks: DataFrame, query: q.Query, limit: int = 20, allowed: DataFrame | None = None, index: KeywordIndex | None = None) -> DataFrame:
     """Keyword hits: key, route_rank, score, bm25, coverage, tf, hit_offset, match_mode.
 
+    With an ``index`` the expression is answered from the postings of its trigrams, and
+    ``chunks`` are read for short terms only.
+
     Up to 500 best by BM25, of these the best by coverage, reranked by coverage,
     capped term frequency and BM25. Short terms add hits that hold all of them.
     """
@@ -79,10 +112,14 @@ def keyword_route(chunks: DataFrame, query: q.Query, limit: int = 20, allowed: D
     found = []
     test = q.condition(query, F.col)
     if test is not None:
-        scored = bm25(chunks, query, q.TEXT_COLUMNS).where(test)
+        if index is not None and postings.usable(query):
+            rows = indexed_matches(index, query)
+            coverage, tf, first = F.col("coverage"), F.col("tf"), F.col("first")
+        else:
+            rows = bm25(chunks, query, q.TEXT_COLUMNS).where(test)
         if allowed is not None:
-            scored = scored.join(allowed, "entry_id", "left_semi")
-        rows = scored.select(*keys, F.round("bm25", 12).alias("bm25"), coverage.cast("bigint").alias("coverage"), tf.cast("bigint").alias("tf"), (F.col("start") + first - 1).cast("bigint").alias("hit_offset"))
+            rows = rows.join(allowed, "entry_id", "left_semi")
+        rows = rows.select(*keys, F.round("bm25", 12).alias("bm25"), coverage.cast("bigint").alias("coverage"), tf.cast("bigint").alias("tf"), (F.col("start") + first - 1).cast("bigint").alias("hit_offset"))
         order = ["bm25", "entry_id", "chunk_no"]
         rows = rows.orderBy(*order).limit(KEYWORD_RECALL)
         if n:

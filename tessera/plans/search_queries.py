@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import anchors as a
+from ..operators import postings
 from ..operators import query as q
 from ..operators import retrieve as r
 from ..session import materialise
@@ -66,6 +67,11 @@ def anywhere(p: str) -> str:
     return "(" + " OR ".join(f"contains(lower({c}), '{p}')" for c in q.TEXT_COLUMNS) + ")"
 
 
+def index_of(chunks: DataFrame) -> r.KeywordIndex:
+    """The keyword index of ``chunks``, stored in the shared folder."""
+    return r.KeywordIndex(materialise(postings.build(chunks), "postings"), materialise(postings.statistics(chunks), "index-stats"))
+
+
 COLUMNS_SQL = "SELECT workspace, entry_id, chunk_no, route_rank, round(score, 4) AS score, round(bm25, 6) AS bm25, coverage, tf, hit_offset, match_mode FROM keyword"
 
 
@@ -73,17 +79,22 @@ def _hits(found: DataFrame) -> DataFrame:
     return found.select("workspace", "entry_id", "chunk_no", "route_rank", "score", F.round("bm25", 6).alias("bm25"), "coverage", "tf", "hit_offset", "match_mode")
 
 
-def keyword_query(name: str, text: str, match: list[str], phrases: list[str], test: str, allowed: str = "TRUE") -> None:
-    """Register a keyword search over all chunks."""
+def keyword_query(name: str, text: str, match: list[str], phrases: list[str], test: str, allowed: str = "TRUE", indexed: bool = False) -> None:
+    """Register a keyword search over all chunks, or over an index of them."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         topic = q.parse(text, as_filters=True)
-        return _hits(r.keyword_route(m.chunks(spark, sf_dir), topic, LIMIT, r.entry_filter(m.entries(spark, sf_dir), topic)))
+        known = m.chunks(spark, sf_dir)
+        return _hits(r.keyword_route(known, topic, LIMIT, r.entry_filter(m.entries(spark, sf_dir), topic), index_of(known) if indexed else None))
 
     query(f"WITH {m.ENTRIES_SQL}, {CHUNKS_SQL}, {keyword_sql(match, phrases, test, allowed)} {COLUMNS_SQL}", name)(run)
 
 
 keyword_query("kw_or_coverage", "eaux tion reering", ["eaux", "tion", "reering"], ["eaux", "tion", "reering"], " OR ".join(map(anywhere, ["eaux", "tion", "reering"])))
+keyword_query("kw_index_or", "eaux tion reering", ["eaux", "tion", "reering"], ["eaux", "tion", "reering"], " OR ".join(map(anywhere, ["eaux", "tion", "reering"])), indexed=True)
+keyword_query("kw_index_precedence", "eaux OR tion AND reering NOT ingly", ["eaux", "tion", "reering", "ingly"], ["eaux", "tion", "reering", "ingly"],
+              f"{anywhere('eaux')} OR ({anywhere('tion')} AND ({anywhere('reering')} AND NOT {anywhere('ingly')}))", indexed=True)
+keyword_query("kw_index_phrase", '"of the" "in the"', ["of the", "in the"], ["of the", "in the"], f"{anywhere('of the')} OR {anywhere('in the')}", indexed=True)
 keyword_query("kw_and", "tion AND reering", ["tion", "reering"], ["tion", "reering"], f"{anywhere('tion')} AND {anywhere('reering')}")
 keyword_query("kw_not", "tion NOT reering", ["tion", "reering"], ["tion", "reering"], f"{anywhere('tion')} AND NOT {anywhere('reering')}")
 keyword_query("kw_precedence", "eaux OR tion AND reering NOT ingly", ["eaux", "tion", "reering", "ingly"], ["eaux", "tion", "reering", "ingly"],
@@ -124,6 +135,13 @@ def kw_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 NEAR_TESTS = " OR ".join(f"regexp_matches(lower({c}), '(?s)tion.{{0,8}}reer') OR regexp_matches(lower({c}), '(?s)reer.{{0,8}}tion')" for c in q.TEXT_COLUMNS)
 
 
+@query(f"""WITH {m.ENTRIES_SQL}, {CHUNKS_SQL} SELECT workspace, entry_id, chunk_no FROM chunks WHERE {NEAR_TESTS}""")
+def kw_index_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A proximity search from the positions of the index."""
+    found = r.indexed_matches(index_of(m.chunks(spark, sf_dir)), q.parse("NEAR(tion reer, 10)"))
+    return found.select("workspace", "entry_id", "chunk_no")
+
+
 @query(f"""WITH {m.ENTRIES_SQL}, {CHUNKS_SQL} SELECT workspace, entry_id, chunk_no FROM chunks WHERE {NEAR_TESTS}""")
 def kw_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     topic = q.parse("NEAR(tion reer, 10)")
