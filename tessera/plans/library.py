@@ -1,24 +1,31 @@
-"""A library on disk: Parquet tables partitioned by workspace, and what is done with them.
-
-Every write replaces only the partitions of the workspaces it touches. Spark's file
-committer makes each table's change atomic; the next state is written to the shared
-folder first, so nothing is read from a partition while it is replaced.
+"""A library on disk: versions of Parquet tables by workspace, and what is done with them.
+
+A change writes the new state of the workspaces it touches to folders of its own and
+then a manifest, which names the folders of every table; the highest manifest is the state
+of the library. So all tables change at once: until the manifest is there, readers see the
+old state whole, and what a change that ended early has written is never read. A reader
+takes all its tables from one manifest. ``prune`` deletes old manifests and the folders
+that only they, or no manifest, name.
 """
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Iterable
+import uuid
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import text as t
 from ..functions.embed import Embedder, embed_column
 from ..operators import anchors as a
 from ..operators import ingest as i
-from ..operators import read, verify
+from ..operators import postings, read, verify
 from ..operators import retrieve as r
 from ..operators import segment as s
 from ..session import materialise
@@ -32,12 +39,14 @@ SCHEMAS = {
     "vectors": "entry_id string, chunk_no long, win_start long, win_end long, embedding array<float>, workspace string",
     "headings": "entry_id string, heading_no long, start long, level long, heading_text string, workspace string",
     "ledger": "entry_id string, start long, kind string, v1 long, v2 long, title string, workspace string",
-    "workspaces": "created_at string, workspace string",
+    "postings": postings.SCHEMA,
+    "index_stats": postings.STATS,
 }
 OPTIONAL = ("title", "source_type", "source_ref", "author", "publisher", "publish_date")
 #: Where the text comes from in its source: offsets of pages and chapters, or timed segments that make the text.
 ORIGIN = {"pages": "array<struct<start:bigint,page:bigint>>", "chapters": "array<struct<start:bigint,chapter:bigint,title:string>>", "segments": "array<struct<start_ms:bigint,end_ms:bigint,text:string>>"}
 PARTS = ("chunks", "headings", "vectors", "ledger")
+INDEX = ("postings", "index_stats")
 KEYS = ["workspace", "entry_id"]
 
 
@@ -57,11 +66,28 @@ def _ledger(entries: DataFrame) -> DataFrame:
     return rows.select(key[0].alias("workspace"), key[1].alias("entry_id"), "start", "kind", "v1", "v2", "title")
 
 
+class Conflict(RuntimeError):
+    """Another change became the next version first; nothing was changed."""
+
+
+@dataclass
+class State:
+    """A version: when each workspace was created, the folder of each table and workspace, the last batch of each stream."""
+
+    version: int = 0
+    workspaces: dict[str, str] = field(default_factory=dict)
+    tables: dict[str, dict[str, str]] = field(default_factory=dict)
+    streams: dict[str, int] = field(default_factory=dict)
+
+    def folders(self) -> set[str]:
+        return {f for by_workspace in self.tables.values() for f in by_workspace.values()}
+
+
 class Store:
-    """The tables of a library below ``root``, and its operations."""
+    """The tables of a library below ``root``, and its operations. ``version`` pins a state for reading."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, version: int | None = None):
+        self.spark, self.root, self.version = spark, root.rstrip("/"), version
 
     def _path(self, name: str):
         return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
@@ -69,26 +95,92 @@ class Store:
     def _files(self, path):
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def table(self, name: str) -> DataFrame:
-        """A table; empty before the first write."""
-        path = self._path(name)
-        if not self._files(path).exists(path):
+    # versions
+
+    def _versions(self) -> list[int]:
+        path = self._path("versions")
+        files = self._files(path)
+        names = [f.getPath().getName() for f in files.listStatus(path)] if files.exists(path) else []
+        return sorted(int(n[:-5]) for n in names if re.fullmatch(r"\d+\.json", n))
+
+    def state(self) -> State:
+        """The pinned state, or the latest one."""
+        number = self.version if self.version is not None else max(self._versions(), default=0)
+        if not number:
+            return State()
+        lines = self.spark.read.option("wholetext", True).text(f"{self.root}/versions/{number:012d}.json").collect()  # one manifest
+        return State(**json.loads(lines[0][0]))
+
+    def _commit(self, state: State) -> None:
+        """Make ``state`` the next version; the rename of its manifest is the moment of the change."""
+        if self.version is not None:
+            raise ValueError(f"pinned: version {self.version} is for reading")
+        state.version += 1
+        path, draft = self._path(f"versions/{state.version:012d}.json"), self._path(f"drafts/{uuid.uuid4().hex}.json")
+        files = self._files(path)
+        out = files.create(draft, True)
+        out.write(bytearray(json.dumps(state.__dict__, ensure_ascii=False).encode()))
+        out.close()
+        files.mkdirs(path.getParent())
+        if files.exists(path) or not files.rename(draft, path):
+            files.delete(draft, False)
+            raise Conflict(f"version {state.version} is there already")
+
+    def table(self, name: str, state: State | None = None) -> DataFrame:
+        """A table of the given state, or of the current one."""
+        folders = sorted((state or self.state()).tables.get(name, {}).values())
+        if not folders:
             return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{name}")
+        found = self.spark.read.schema(SCHEMAS[name]).option("basePath", f"{self.root}/data/{name}").parquet(*[f"{self.root}/{f}" for f in folders])
+        return found.drop("change", "_w")
 
-    def _replace(self, name: str, rows: DataFrame, workspaces: Iterable[str]) -> None:
-        """Make ``rows`` all that ``name`` has of these workspaces.
+    def _replace(self, state: State, name: str, rows: DataFrame, workspaces: Iterable[str]) -> None:
+        """Write ``rows`` as all that ``name`` has of these workspaces, and note that in ``state``.
 
         The rows are rebalanced: small workspaces go to one file each, large ones are
         split over many tasks by size.
         """
-        fields = [c for c in self.spark.createDataFrame([], SCHEMAS[name]).columns]
-        ready = materialise(rows.select(*fields), name)
-        filled = {r.workspace for r in ready.select("workspace").distinct().collect()}  # at most those named
-        for w in set(workspaces) - filled:  # a workspace without rows has no partition to be overwritten with
-            path = self._path(f"{name}/workspace={w}")
-            self._files(path).delete(path, True)
-        ready.hint("rebalance", "workspace").sortWithinPartitions(fields[0]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("workspace").parquet(f"{self.root}/{name}")
+        schema = self.spark.createDataFrame([], SCHEMAS[name]).schema
+        rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in schema]).withColumn("_w", F.col("workspace"))
+        folder, parts = f"data/{name}/change={uuid.uuid4().hex}", ["_w"]
+        if name == "postings":
+            dealt, parts = rows.hint("rebalance", "_w", "bucket").sortWithinPartitions("bucket", "gram"), ["_w", "bucket"]
+        else:
+            dealt = rows.hint("rebalance", "_w").sortWithinPartitions(schema.names[0])
+        dealt.write.partitionBy(*parts).parquet(f"{self.root}/{folder}")
+        held = state.tables.setdefault(name, {})
+        for w in set(workspaces):
+            path = self._path(f"{folder}/_w={w}")
+            if self._files(path).exists(path):
+                held[w] = f"{folder}/_w={w}"
+            else:
+                held.pop(w, None)
+
+    def _index(self, state: State, workspaces: list[str]) -> None:
+        """The keyword index of these workspaces from the chunks of ``state``."""
+        chunks = self.table("chunks", state).where(F.col("workspace").isin(workspaces))
+        self._replace(state, "postings", postings.build(chunks), workspaces)
+        self._replace(state, "index_stats", postings.statistics(chunks), workspaces)
+
+    def prune(self, keep: int = 2) -> int:
+        """Delete all but the last ``keep`` versions and what only these name; returns how many folders went.
+
+        Not to be run while a change is being written.
+        """
+        versions = self._versions()
+        wanted = {f.rsplit("/", 1)[0] for n in versions[-keep:] for f in Store(self.spark, self.root, n).state().folders()}
+        for n in versions[:-keep]:
+            path = self._path(f"versions/{n:012d}.json")
+            self._files(path).delete(path, False)
+        gone = 0
+        for name in SCHEMAS:
+            path = self._path(f"data/{name}")
+            files = self._files(path)
+            for found in [f.getPath() for f in files.listStatus(path)] if files.exists(path) else []:
+                if f"data/{name}/{found.getName()}" not in wanted:
+                    files.delete(found, True)
+                    gone += 1
+        return gone
 
     def _check(self, name: str) -> str:
         if not NAME.fullmatch(name):
@@ -98,34 +190,41 @@ class Store:
     # workspaces
 
     def create(self, name: str, now: str) -> None:
+        state = self.state()
         if name in self.names():
             raise ValueError(f"workspace_exists: {name}")
-        rows = self.spark.createDataFrame([(now, self._check(name))], SCHEMAS["workspaces"])
-        rows.write.mode("append").partitionBy("workspace").parquet(f"{self.root}/workspaces")
+        state.workspaces[self._check(name)] = now
+        self._commit(state)
 
     def names(self) -> list[str]:
-        """All workspaces: one short row each."""
-        known = self.table("workspaces").select("workspace").unionByName(self.table("entries").select("workspace")).distinct()
-        return sorted(r.workspace for r in known.collect())
+        """All workspaces."""
+        state = self.state()
+        return sorted({*state.workspaces, *state.tables.get("entries", {})})
 
     def delete(self, name: str, confirm: bool = False) -> None:
         if not confirm:
             raise ValueError("confirm_needed")
-        for table in SCHEMAS:
-            path = self._path(f"{table}/workspace={self._check(name)}")
-            self._files(path).delete(path, True)
+        state = self.state()
+        for held in (state.workspaces, *state.tables.values()):
+            held.pop(self._check(name), None)
+        self._commit(state)
 
     def rename(self, old: str, new: str) -> None:
         if self._check(new) in self.names():
             raise ValueError(f"workspace_exists: {new}")
-        for table in SCHEMAS:
-            path = self._path(f"{table}/workspace={self._check(old)}")
-            if self._files(path).exists(path):
-                self._files(path).rename(path, self._path(f"{table}/workspace={new}"))
+        state = self.state()
+        for name in SCHEMAS:
+            if state.tables.get(name, {}).get(self._check(old)):
+                mine = self.table(name, state).where(F.col("workspace") == old)
+                self._replace(state, name, mine.withColumn("workspace", F.lit(new)), [new])
+                state.tables[name].pop(old)
+        if old in state.workspaces:
+            state.workspaces[new] = state.workspaces.pop(old)
+        self._commit(state)
 
     # ingest and maintenance
 
-    def ingest(self, items: DataFrame, now: str, embedder: Embedder | None = None, replace: bool = False) -> DataFrame:
+    def ingest(self, items: DataFrame, now: str, embedder: Embedder | None = None, replace: bool = False, batch: tuple[str, int] | None = None) -> DataFrame:
         """Add items (workspace, text, optional metadata and origin); returns the refused ones with a reason.
 
         The same text is the same entry: it is updated and keeps its created_at.
@@ -133,8 +232,14 @@ class Store:
         older entries of a source that has a new one, and a boolean column ``replace``
         says so item by item (null: the argument). ``segments``, or ``srt_text`` that is
         parsed into them, make the text of a timed item; ``pages`` and ``chapters`` give
-        offsets in ``text``. All of them go to the ledger.
+        offsets in ``text``. All of them go to the ledger. All tables change at once. ``batch``
+        (stream, number) is remembered with the change: a batch that is in already does nothing.
         """
+        state = self.state()
+        if batch and state.streams.get(batch[0], -1) >= batch[1]:
+            return items.limit(0).withColumn("reason", F.lit(None).cast("string"))
+        if batch:
+            state.streams[batch[0]] = batch[1]
         for c, kind in {"text": "string", "srt_text": "string", **dict.fromkeys(OPTIONAL, "string"), **ORIGIN, "replace": "boolean"}.items():
             if c not in items.columns:
                 items = items.withColumn(c, F.lit(None).cast(kind))
@@ -145,19 +250,22 @@ class Store:
         last = F.max_by(F.struct(*OPTIONAL, *ORIGIN, "replace"), F.col("_at"))
         one = keyed.groupBy("workspace", "entry_id").agg(last.alias("_item"), F.first("text").alias("text")).select("workspace", "entry_id", "_item.*", "text")
         stamped = one.withColumn("created_at", F.lit(now)).withColumn("updated_at", F.lit(now)).withColumn("total_chars", F.length("text").cast("bigint"))
-        old = self.table("entries")
+        old = self.table("entries", state)
         scope = lambda df: df.withColumn("source_ref", F.concat_ws("\u0000", "workspace", F.nullif("source_ref", F.lit(""))))  # noqa: E731  sources are per workspace
         carried = i.carry_metadata(stamped.withColumn("_ref", F.col("source_ref")).transform(scope), scope(old.where(F.col("source_ref").isNotNull())))
         new = materialise(carried.withColumn("source_ref", F.col("_ref")).drop("_ref").withColumn("title", t.title_hint(F.col("title"), F.col("text"), F.col("entry_id"))), "new-entries")
         touched = sorted(r.workspace for r in new.select("workspace").distinct().collect())
         if not touched:
+            if batch:
+                self._commit(state)
             return refused
         keys = KEYS
         pieces = s.chunks(new.withColumn("_key", F.concat_ws("\u0000", "workspace", "entry_id")), "_key")
         pieces = pieces.select(F.split("_key", "\u0000")[0].alias("workspace"), F.split("_key", "\u0000")[1].alias("entry_id"), "chunk_no", "start", "stop", F.col("body").alias("chunk_text"))
         chunks = pieces.join(new.select(*keys, "title", "author", "publisher", "publish_date"), keys)
         counted = new.join(pieces.groupBy(*keys).agg(F.count("*").alias("chunk_count")), keys, "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0).cast("bigint")))
-        here = lambda name: self.table(name).where(F.col("workspace").isin(touched))
+        before = State(**json.loads(json.dumps(state.__dict__)))
+        here = lambda name: self.table(name, before).where(F.col("workspace").isin(touched))
         newer = new.where(F.col("source_ref").isNotNull() & F.col("replace")).select("workspace", "source_ref").distinct()
         kept = here("entries").join(newer, ["workspace", "source_ref"], "left_anti")
         plain = counted.drop(*ORIGIN, "replace").withColumn("_k", F.struct(*keys))
@@ -169,16 +277,31 @@ class Store:
         def rest(name: str) -> DataFrame:
             return here(name).join(new.select(*keys), keys, "left_anti").join(stays, keys, "left_semi")
 
-        self._replace("chunks", rest("chunks").unionByName(chunks), touched)
-        self._replace("headings", rest("headings").unionByName(self._headings(new)), touched)
-        self._replace("ledger", rest("ledger").unionByName(_ledger(new)), touched)
+        self._replace(state, "chunks", rest("chunks").unionByName(chunks), touched)
+        self._replace(state, "headings", rest("headings").unionByName(self._headings(new)), touched)
+        self._replace(state, "ledger", rest("ledger").unionByName(_ledger(new)), touched)
         vectors = rest("vectors")
         if embedder:
             vectors = vectors.unionByName(self._vectors(pieces, embedder))
-        self._replace("vectors", vectors, touched)
-        self._replace("entries", merged, touched)  # last: an entry is there only with its parts
+        self._replace(state, "vectors", vectors, touched)
+        self._replace(state, "entries", merged, touched)
+        self._index(state, touched)
+        self._commit(state)
         return refused
 
+    def ingest_stream(self, folder: str, schema: str, checkpoint: str, now: Callable[[], str], embedder: Embedder | None = None, replace: bool = False, name: str = "landing") -> StreamingQuery:
+        """Ingest the Parquet files that land in ``folder``, once each, with all that ``ingest`` does.
+
+        Each micro-batch is one change of the library that also remembers the batch's number, so a
+        batch that Spark runs again after a failure does nothing. ``name`` tells streams apart.
+        """
+        rows = self.spark.readStream.schema(schema).parquet(folder)
+
+        def one(batch: DataFrame, number: int) -> None:
+            self.ingest(batch, now(), embedder, replace, (name, number))
+
+        return rows.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
     def _headings(self, entries: DataFrame) -> DataFrame:
         """Entries of one text in several workspaces share their headings."""
         once = entries.groupBy("entry_id").agg(F.first("text").alias("text"))
@@ -193,11 +316,14 @@ class Store:
     def embed(self, embedder: Embedder) -> int:
         """Vectors for the entries that have none; returns how many entries."""
         keys = ["workspace", "entry_id"]
-        missing = materialise(self.table("entries").select(*keys).join(self.table("vectors").select(*keys).distinct(), keys, "left_anti"), "missing")
+        state = self.state()
+        vectors = self.table("vectors", state)
+        missing = materialise(self.table("entries", state).select(*keys).join(vectors.select(*keys).distinct(), keys, "left_anti"), "missing")
         touched = sorted(r.workspace for r in missing.select("workspace").distinct().collect())
         if touched:
-            more = self._vectors(self.table("chunks").join(missing, keys, "left_semi"), embedder)
-            self._replace("vectors", self.table("vectors").where(F.col("workspace").isin(touched)).unionByName(more), touched)
+            more = self._vectors(self.table("chunks", state).join(missing, keys, "left_semi"), embedder)
+            self._replace(state, "vectors", vectors.where(F.col("workspace").isin(touched)).unionByName(more), touched)
+            self._commit(state)
         return missing.count()
 
     def remove(self, workspace: str, entry_id: str, confirm: bool = False) -> bool:
@@ -205,25 +331,36 @@ class Store:
         if not confirm:
             raise ValueError("confirm_needed")
         hit = (F.col("workspace") == workspace) & (F.col("entry_id") == entry_id)
-        if self.table("entries").where(hit).isEmpty():
+        state = self.state()
+        if self.table("entries", state).where(hit).isEmpty():
             return False
         for name in ("entries", *PARTS):
-            self._replace(name, self.table(name).where((F.col("workspace") == workspace) & ~hit), [workspace])
+            self._replace(state, name, self.table(name, state).where((F.col("workspace") == workspace) & ~hit), [workspace])
+        self._index(state, [workspace])
+        self._commit(state)
         return True
 
     def reindex(self, workspace: str) -> None:
         """Find the headings of a workspace anew from its texts."""
-        self._replace("headings", self._headings(self.table("entries").where(F.col("workspace") == workspace)), [workspace])
+        state = self.state()
+        self._replace(state, "headings", self._headings(self.table("entries", state).where(F.col("workspace") == workspace)), [workspace])
+        self._commit(state)
 
     def vacuum(self, workspace: str) -> None:
-        """Rewrite a workspace's files, few and sorted."""
+        """Rewrite a workspace's files, few and sorted, with a new keyword index, and delete what no version of the last two names."""
+        state = self.state()
         for name in ("entries", *PARTS):
-            self._replace(name, self.table(name).where(F.col("workspace") == workspace), [workspace])
+            self._replace(state, name, self.table(name, state).where(F.col("workspace") == workspace), [workspace])
+        self._index(state, [workspace])
+        self._commit(state)
+        self.prune()
 
     # reading
 
     def library(self) -> Library:
-        return Library(*(self.table(n) for n in ("entries", "chunks", "vectors", "headings", "ledger")))
+        state = self.state()
+        tables = {n: self.table(n, state) for n in SCHEMAS}
+        return Library(*(tables[n] for n in ("entries", "chunks", "vectors", "headings", "ledger")), r.KeywordIndex(tables["postings"], tables["index_stats"]))
 
     def search(self, text: str, embedder: Embedder | None = None, limit: int = 20, mode: str = "fused", workspaces: list[str] | None = None) -> tuple[DataFrame, Search]:
         """(hits by section with all their details, the planned search)."""
@@ -280,7 +417,8 @@ class Store:
     def problems(self) -> DataFrame:
         """(check, problems) of the integrity checks, over all workspaces."""
         key = F.concat_ws("\u0000", "workspace", "entry_id")
-        entries, chunks, heads, ledger, vectors = (self.table(n).withColumn("entry_id", key) for n in ("entries", "chunks", "headings", "ledger", "vectors"))
+        state = self.state()
+        entries, chunks, heads, ledger, vectors = (self.table(n, state).withColumn("entry_id", key) for n in ("entries", "chunks", "headings", "ledger", "vectors"))
         known = entries.select("entry_id")
         orphans = lambda df: df.select("entry_id").distinct().join(known, "entry_id", "left_anti")
         return verify.summary({

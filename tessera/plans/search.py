@@ -25,6 +25,7 @@ class Library:
     vectors: DataFrame
     headings: DataFrame
     ledger: DataFrame | None = None
+    index: r.KeywordIndex | None = None
 
 
 @dataclass
@@ -55,7 +56,9 @@ def plan(library: Library, text: str, unit_query: list[float] | None = None, lim
         raise q.QueryError("bad_mode", mode)
     limit = r.clamp(limit)
     if workspaces is not None:
-        library = Library(*(df.where(F.col("workspace").isin(workspaces)) for df in (library.entries, library.chunks, library.vectors, library.headings)))
+        here = lambda df: df.where(F.col("workspace").isin(workspaces))
+        index = library.index and r.KeywordIndex(here(library.index.postings), here(library.index.statistics))
+        library = Library(*map(here, (library.entries, library.chunks, library.vectors, library.headings)), index=index)
     topic = q.parse(text, as_filters=True)
     allowed = r.entry_filter(library.entries, topic)
     if not topic.items and not topic.like_terms:
@@ -64,7 +67,7 @@ def plan(library: Library, text: str, unit_query: list[float] | None = None, lim
         topic, mode = q.parse(text), "fts"
     wide = r.route_limit(limit)
     error = None
-    keyword = r.keyword_route(library.chunks, topic, wide, allowed)
+    keyword = r.keyword_route(library.chunks, topic, wide, allowed, library.index)
     heading = r.heading_route(library.headings, topic, wide, allowed)
     available = bool(unit_query) and embed
     vector = None
