@@ -15,6 +15,7 @@ from ..functions.text import normal_heading
 
 SECTION_CHARS = 20_000
 HEADING_CHARS = 60
+BAND_CHARS = 4_096
 #: Line patterns of headings without mark-up, with their level (None: from the dots).
 PATTERNS: list[tuple[str, int | None]] = [
     (r"^第[一二三四五六七八九十百千零〇\d]+[章篇部卷]", 1),
@@ -86,12 +87,16 @@ def merge_outline(parsed: DataFrame, outline: DataFrame, pages: DataFrame, key:
     """Outline entries at their page's start, plus parsed headings without a like one nearby.
 
     ``outline``: key, level, heading_text, page; ``pages``: key, page, start. One heading per
-    offset stays, the outline's before the parsed one.
+    offset stays, the outline's before the parsed one. Headings meet in bands of ``near``
+    characters, so one that recurs in an entry is compared with its neighbours alone.
     """
     fixed = outline.join(pages, [key, "page"]).select(key, "start", "level", "heading_text")
-    other = fixed.select(F.col(key).alias("_key"), F.col("start").alias("_start"), normal_heading(F.col("heading_text")).alias("_same"))
-    close = (F.col(key) == F.col("_key")) & (normal_heading(F.col("heading_text")) == F.col("_same")) & (F.abs(F.col("start") - F.col("_start")) < near)
-    rest = parsed.select(key, "start", "level", "heading_text").join(other, close, "left_anti")
+    same = normal_heading(F.col("heading_text"))
+    band = F.floor(F.col("start") / near)
+    other = fixed.select(F.col(key).alias("_key"), F.col("start").alias("_start"), same.alias("_like"), F.explode(F.array(band - 1, band, band + 1)).alias("_at")).distinct()
+    found = parsed.select(key, "start", "level", "heading_text", same.alias("_same"), band.alias("_band"))
+    close = (F.col(key) == F.col("_key")) & (F.col("_same") == F.col("_like")) & (F.col("_band") == F.col("_at")) & (F.abs(F.col("start") - F.col("_start")) < near)
+    rest = found.join(other, close, "left_anti").drop("_same", "_band")
     both = fixed.withColumn("_from", F.lit(0)).unionByName(rest.withColumn("_from", F.lit(1)))
     first = W.partitionBy(key, "start").orderBy("_from", "level", "heading_text")
     return both.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "_from")
@@ -163,11 +168,23 @@ def joined_text(segments: DataFrame, key: str, order: list[str], text: str = "te
     return grouped.select(key, F.array_join(F.transform("_all", lambda x: x[text]), "\n").alias("full_text"))
 
 
-def chunk_times(chunks: DataFrame, spans: DataFrame, key: str) -> DataFrame:
-    """(key, chunk_no, start_ms, end_ms): first start and last end among segments that a chunk overlaps."""
-    s = spans.select(F.col(key).alias("_key"), "char_start", "char_end", "start_ms", "end_ms")
-    over = (F.col(key) == F.col("_key")) & (F.col("char_end") > F.col("start")) & (F.col("char_start") < F.col("stop"))
-    return chunks.join(s, over, "left").groupBy(key, "chunk_no").agg(F.min_by("start_ms", "char_start").alias("start_ms"), F.max_by("end_ms", "char_start").alias("end_ms"))
+def _bands(start: Column, stop: Column, width: int) -> Column:
+    """The numbers of the bands of ``width`` characters that [start, stop) touches; an empty span lies in that of its start."""
+    last = F.greatest(start, stop - 1)
+    return F.sequence(F.floor(start / width), F.floor(last / width))
+
+
+def chunk_times(chunks: DataFrame, spans: DataFrame, key: str, width: int = BAND_CHARS) -> DataFrame:
+    """(key, chunk_no, start_ms, end_ms): first start and last end among segments that a chunk overlaps.
+
+    Both sides are cut into bands of ``width`` characters and meet band by band, so the work
+    follows the length of a text, also of one entry that holds most segments, and its bands
+    are many tasks' work. A pair may meet in several bands; the first and the last are the same.
+    """
+    parts = chunks.select(key, "chunk_no", "start", "stop", F.explode_outer(_bands(F.col("start"), F.col("stop"), width)).alias("_band"))
+    s = spans.select(F.col(key).alias("_key"), "char_start", "char_end", "start_ms", "end_ms", F.explode(_bands(F.col("char_start"), F.col("char_end"), width)).alias("_at"))
+    over = (F.col(key) == F.col("_key")) & (F.col("_band") == F.col("_at")) & (F.col("char_end") > F.col("start")) & (F.col("char_start") < F.col("stop"))
+    return parts.join(s, over, "left").groupBy(key, "chunk_no").agg(F.min_by("start_ms", "char_start").alias("start_ms"), F.max_by("end_ms", "char_start").alias("end_ms"))
 
 
 def source_location(kind: Column, v1: Column, v2: Column, title: Column, line: Column) -> Column:

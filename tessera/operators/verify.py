@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+
+SAID = re.compile(r"\S", re.ASCII)
 
 
 def chunk_counts(entries: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -16,27 +21,69 @@ def chunk_counts(entries: DataFrame, chunks: DataFrame) -> DataFrame:
     return rows.withColumn("actual", F.coalesce("actual", F.lit(0))).where("not (stored <=> actual)")
 
 
+def _beside(entries: DataFrame, spans: DataFrame, test: Callable[[str | None, list[dict]], list[dict]], schema: str) -> DataFrame:
+    """What ``test`` finds of an entry's text and the list of all its ``spans``, which have entry_id.
+
+    A text is shuffled and read once, whatever number of spans it has.
+    """
+    fields = [c for c in spans.columns if c != "entry_id"]
+    gathered = spans.groupBy("entry_id").agg(F.collect_list(F.struct(*fields)).alias("_spans"))
+    rows = entries.select("entry_id", F.col("text").alias("_full")).join(gathered, "entry_id")
+    kind = rows.schema["entry_id"].dataType.simpleString()
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1)
+                found = test(row.column(1)[0].as_py(), row.column(2)[0].as_py())
+                if found:
+                    yield pa.Table.from_pylist([{"entry_id": row.column(0)[0].as_py(), **f} for f in found], out).combine_chunks().to_batches()[0]
+
+    out = to_arrow_schema(entries.sparkSession.createDataFrame([], f"entry_id {kind}, {schema}").schema)
+    return rows.mapInArrow(apply, f"entry_id {kind}, {schema}")
+
+
 def text_mismatch(entries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(entry_id, chunk_no, reason): chunks outside their text or unlike the substring they name."""
-    rows = chunks.join(entries.select("entry_id", F.col("text").alias("_full")), "entry_id")
-    size = F.length("chunk_text")
-    outside = F.col("start").isNull() | (F.col("start") < 0) | (F.col("start") + size > F.length("_full"))
-    unlike = F.substr("_full", F.col("start").cast("int") + 1, size) != F.col("chunk_text")
-    return rows.select("entry_id", "chunk_no", F.when(outside, "offset_out_of_range").when(unlike, "chunk_text_mismatch").alias("reason")).where("reason is not null")
+    """(entry_id, chunk_no, reason): chunks outside their text or unlike the substring they name.
+
+    A chunk without an offset is outside; one without text has no fault.
+    """
+
+    def test(full: str | None, spans: list[dict]) -> list[dict]:
+        found = []
+        for x in spans:
+            start, body = x["start"], x["chunk_text"]
+            known = full is not None and body is not None
+            if start is None or start < 0 or (known and start + len(body) > len(full)):
+                found.append({"chunk_no": x["chunk_no"], "reason": "offset_out_of_range"})
+            elif known and full[start : start + len(body)] != body:
+                found.append({"chunk_no": x["chunk_no"], "reason": "chunk_text_mismatch"})
+        return found
+
+    kind = chunks.schema["chunk_no"].dataType.simpleString()
+    return _beside(entries, chunks.select("entry_id", "chunk_no", F.col("start").cast("bigint"), "chunk_text"), test, f"chunk_no {kind}, reason string")
 
 
 def coverage(entries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(entry_id, gap_start, gap_end, reason): stretches with text that no chunk covers."""
-    order = W.partitionBy("entry_id").orderBy("start", "chunk_no")
-    stop = F.col("start") + F.length("chunk_text")
-    covered = F.coalesce(F.max(stop).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    holes = chunks.select("entry_id", covered.alias("gap_start"), F.col("start").alias("gap_end"), F.lit("coverage_gap").alias("reason")).where("gap_end > gap_start")
-    ends = chunks.groupBy("entry_id").agg(F.max(stop).alias("gap_start"))
-    full = entries.select("entry_id", F.col("text").alias("_full"))
-    tails = full.join(ends, "entry_id").select("entry_id", "gap_start", F.length("_full").cast("bigint").alias("gap_end"), F.lit("coverage_tail").alias("reason")).where("gap_end > gap_start")
-    rows = holes.unionByName(tails).join(full, "entry_id")
-    missed = F.substr("_full", F.col("gap_start").cast("int") + 1, (F.col("gap_end") - F.col("gap_start")).cast("int"))
-    return rows.where(missed.rlike(r"\S")).select("entry_id", "gap_start", "gap_end", "reason")
+    """(entry_id, gap_start, gap_end, reason): stretches with text that no chunk covers.
+
+    Only the chunks' places are gathered, not their texts.
+    """
+
+    def test(full: str | None, spans: list[dict]) -> list[dict]:
+        if full is None:
+            return []
+        found, end = [], 0
+        for x in sorted((x for x in spans if x["start"] is not None and x["size"] is not None), key=lambda x: x["start"]):
+            if x["start"] > end:
+                found.append((end, x["start"], "coverage_gap"))
+            end = max(end, x["start"] + x["size"])
+        if spans and end < len(full):
+            found.append((end, len(full), "coverage_tail"))
+        return [{"gap_start": a, "gap_end": b, "reason": why} for a, b, why in found if SAID.search(full, a, b)]
+
+    places = chunks.select("entry_id", F.col("start").cast("bigint").alias("start"), F.length("chunk_text").cast("bigint").alias("size"))
+    return _beside(entries, places, test, "gap_start bigint, gap_end bigint, reason string")
 
 
 def headings_outside(entries: DataFrame, headings: DataFrame) -> DataFrame:
