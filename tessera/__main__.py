@@ -48,7 +48,7 @@ def run(args: argparse.Namespace, store: Store) -> dict:
     embedder = HashEmbedder() if args.embed else None
     if args.command == "ingest":
         found = files.extract(files.scan(store.spark, args.folder)).cache()
-        items = found.where("error is null").selectExpr(f"'{args.workspace}' as workspace", "text", "kind as source_type", "path as source_ref", "pages", "chapters")
+        items = found.where("error is null").selectExpr(f"'{args.workspace}' as workspace", "text", "kind as source_type", "path as source_ref", "pages", "chapters", "outline")
         refused = store.ingest(items, datetime.now().isoformat(timespec="seconds"), embedder, args.replace)
         return {"refused": _rows(refused.select("source_ref", "reason")), "unreadable": _rows(found.where("error is not null").select("path", "error"))}
     if args.command == "search":

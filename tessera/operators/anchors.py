@@ -69,11 +69,7 @@ def headings(df: DataFrame, key: str = "entry_id", text: str = "text", pages: st
     A heading that recurs at least max(3, 60 % of the pages) times is a running
     header and goes. ``pages`` names a column with the number of pages.
     """
-    lines = line_rows(df, key, text)
-    if pages:
-        lines = lines.join(df.select(key, F.col(pages).alias("_pages")), key)
-    else:
-        lines = lines.withColumn("_pages", F.lit(0))
+    lines = line_rows(df, key, text, (pages,) if pages else ()).withColumn("_pages", F.col(pages) if pages else F.lit(0))
     level, body = heading_level(F.col("line"))
     found = lines.select(key, "start", level.cast("bigint").alias("level"), body.alias("heading_text"), "_pages").where("level is not null")
     same = W.partitionBy(key, normal_heading(F.col("heading_text")))
@@ -86,20 +82,22 @@ def headings(df: DataFrame, key: str = "entry_id", text: str = "text", pages: st
 def merge_outline(parsed: DataFrame, outline: DataFrame, pages: DataFrame, key: str = "entry_id", near: int = 500) -> DataFrame:
     """Outline entries at their page's start, plus parsed headings without a like one nearby.
 
-    ``outline``: key, level, heading_text, page; ``pages``: key, page, start. One heading per
-    offset stays, the outline's before the parsed one. Headings meet in bands of ``near``
+    ``outline``: key, level, heading_text, page and perhaps outline_no, the place in the outline;
+    ``pages``: key, page, start. One heading per offset stays, the outline's first one before
+    the parsed one. Headings meet in bands of ``near``
     characters, so one that recurs in an entry is compared with its neighbours alone.
     """
-    fixed = outline.join(pages, [key, "page"]).select(key, "start", "level", "heading_text")
+    place = F.col("outline_no") if "outline_no" in outline.columns else F.lit(0)
+    fixed = outline.join(pages, [key, "page"]).select(key, "start", "level", "heading_text", place.cast("bigint").alias("_place"))
     same = normal_heading(F.col("heading_text"))
     band = F.floor(F.col("start") / near)
     other = fixed.select(F.col(key).alias("_key"), F.col("start").alias("_start"), same.alias("_like"), F.explode(F.array(band - 1, band, band + 1)).alias("_at")).distinct()
     found = parsed.select(key, "start", "level", "heading_text", same.alias("_same"), band.alias("_band"))
     close = (F.col(key) == F.col("_key")) & (F.col("_same") == F.col("_like")) & (F.col("_band") == F.col("_at")) & (F.abs(F.col("start") - F.col("_start")) < near)
     rest = found.join(other, close, "left_anti").drop("_same", "_band")
-    both = fixed.withColumn("_from", F.lit(0)).unionByName(rest.withColumn("_from", F.lit(1)))
-    first = W.partitionBy(key, "start").orderBy("_from", "level", "heading_text")
-    return both.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "_from")
+    both = fixed.withColumn("_from", F.lit(0)).unionByName(rest.withColumn("_from", F.lit(1)).withColumn("_place", F.lit(0).cast("bigint")))
+    first = W.partitionBy(key, "start").orderBy("_from", "_place", "level", "heading_text")
+    return both.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "_from", "_place")
 
 
 def subsections(anchors: DataFrame, entries: DataFrame, key: str = "entry_id", step: int = SECTION_CHARS) -> DataFrame:

@@ -43,8 +43,8 @@ SCHEMAS = {
     "index_stats": postings.STATS,
 }
 OPTIONAL = ("title", "source_type", "source_ref", "author", "publisher", "publish_date")
-#: Where the text comes from in its source: offsets of pages and chapters, or timed segments that make the text.
-ORIGIN = {"pages": "array<struct<start:bigint,page:bigint>>", "chapters": "array<struct<start:bigint,chapter:bigint,title:string>>", "segments": "array<struct<start_ms:bigint,end_ms:bigint,text:string>>"}
+#: Where the text comes from in its source: offsets of pages and chapters, bookmarks of pages, or timed segments that make the text.
+ORIGIN = {"pages": "array<struct<start:bigint,page:bigint>>", "chapters": "array<struct<start:bigint,chapter:bigint,title:string>>", "segments": "array<struct<start_ms:bigint,end_ms:bigint,text:string>>", "outline": "array<struct<level:bigint,title:string,page:bigint>>"}
 PARTS = ("chunks", "headings", "vectors", "ledger")
 INDEX = ("postings", "index_stats")
 KEYS = ["workspace", "entry_id"]
@@ -59,7 +59,7 @@ def _timed(items: DataFrame) -> DataFrame:
 
 def _ledger(entries: DataFrame) -> DataFrame:
     """The ledger rows of entries with ``ORIGIN`` columns."""
-    keyed = entries.select(F.concat_ws("\0", *KEYS).alias("_key"), *ORIGIN)
+    keyed = entries.select(F.concat_ws("\0", *KEYS).alias("_key"), "pages", "chapters", "segments")
     part = lambda c: keyed.select("_key", F.posexplode(c).alias("_no", "_x")).select("_key", "_no", "_x.*")
     rows = a.ledger(part("pages"), part("chapters"), a.segment_spans(part("segments"), "_key", ["_no"]), key="_key")
     key = F.split("_key", "\0")
@@ -303,9 +303,16 @@ class Store:
         return rows.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
     def _headings(self, entries: DataFrame) -> DataFrame:
-        """Entries of one text in several workspaces share their headings."""
-        once = entries.groupBy("entry_id").agg(F.first("text").alias("text"))
-        return a.headings(once).join(entries.select("entry_id", "workspace"), "entry_id")
+        """The headings of entries with ``ORIGIN`` columns: bookmarks at the start of their page, and lines that look like headings."""
+        rows = entries.select(F.concat_ws("\0", *KEYS).alias("_entry"), "text", "pages", "outline").withColumn("_pages", F.coalesce(F.size("pages"), F.lit(0)))
+        starts = rows.where(F.size("outline") > 0).select("_entry", F.posexplode("pages").alias("_no", "_x")).select("_entry", (F.col("_no") + 1).cast("bigint").alias("page"), "_x.start")
+        marks = rows.select("_entry", F.posexplode("outline").alias("outline_no", "_x")).select("_entry", "outline_no", "_x.level", F.col("_x.title").alias("heading_text"), "_x.page")
+        return self._numbered(a.merge_outline(a.headings(rows, "_entry", pages="_pages"), marks, starts, "_entry"))
+
+    def _numbered(self, headings: DataFrame) -> DataFrame:
+        number = F.row_number().over(W.partitionBy("_entry").orderBy("start")).cast("bigint")
+        key = F.split("_entry", "\0")
+        return headings.select(key[0].alias("workspace"), key[1].alias("entry_id"), number.alias("heading_no"), "start", "level", "heading_text")
 
     def _vectors(self, chunks: DataFrame, embedder: Embedder) -> DataFrame:
         key = F.concat_ws("\u0000", "workspace", "entry_id", F.col("chunk_no").cast("string"), F.col("start").cast("string"))
@@ -341,9 +348,13 @@ class Store:
         return True
 
     def reindex(self, workspace: str) -> None:
-        """Find the headings of a workspace anew from its texts."""
+        """Find the headings of a workspace anew from its texts and their numbers of pages; bookmarks aren't kept, so these go."""
         state = self.state()
-        self._replace(state, "headings", self._headings(self.table("entries", state).where(F.col("workspace") == workspace)), [workspace])
+        mine = F.col("workspace") == workspace
+        key = F.concat_ws("\0", *KEYS).alias("_entry")
+        pages = self.table("ledger", state).where(mine & (F.col("kind") == "page")).groupBy(key).agg(F.count("*").alias("_pages"))
+        rows = self.table("entries", state).where(mine).select(key, "text").join(pages, "_entry", "left")
+        self._replace(state, "headings", self._numbered(a.headings(rows, "_entry", pages="_pages")), [workspace])
         self._commit(state)
 
     def vacuum(self, workspace: str) -> None:

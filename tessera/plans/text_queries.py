@@ -148,8 +148,8 @@ def anchored_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {m.ENTRIES_SQL}, {m.LINES_SQL},
 pages AS (SELECT entry_id, line_no // 4 + 1 AS page, min(start) AS start FROM lines GROUP BY ALL),
-fixed AS (SELECT p.entry_id, p.start, 1::BIGINT AS level, left(line, 20) AS heading_text, 0 AS src FROM pages p JOIN lines l ON l.entry_id = p.entry_id AND l.start = p.start),
-parsed AS (SELECT entry_id, start, 2::BIGINT AS level, left(line, 20) AS heading_text, 1 AS src FROM lines),
+fixed AS (SELECT p.entry_id, p.start, 1::BIGINT AS level, line AS heading_text, 0 AS src FROM pages p JOIN lines l ON l.entry_id = p.entry_id AND l.start = p.start),
+parsed AS (SELECT entry_id, start, 2::BIGINT AS level, line AS heading_text, 1 AS src FROM lines),
 rest AS (SELECT * FROM parsed a WHERE NOT EXISTS (SELECT 1 FROM fixed f WHERE f.entry_id = a.entry_id AND abs(f.start - a.start) < 500 AND lower(regexp_replace(f.heading_text, '\\s+', '', 'g')) = lower(regexp_replace(a.heading_text, '\\s+', '', 'g'))))
 SELECT entry_id, start, level, heading_text FROM (SELECT * FROM fixed UNION ALL SELECT * FROM rest) QUALIFY row_number() OVER (PARTITION BY entry_id, start ORDER BY src, level, heading_text) = 1""")
 def outline_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,8 +157,8 @@ def outline_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = m.lines(spark, sf_dir)
     pages = lines.groupBy("entry_id", (F.floor(F.col("line_no") / 4) + 1).alias("page")).agg(F.min("start").alias("start"))
     first = lines.where("line_no % 4 = 0")
-    outline = first.select("entry_id", F.lit(1).cast("bigint").alias("level"), F.substring("line", 1, 20).alias("heading_text"), (F.floor(F.col("line_no") / 4) + 1).alias("page"))
-    parsed = lines.select("entry_id", "start", F.lit(2).cast("bigint").alias("level"), F.substring("line", 1, 20).alias("heading_text"))
+    outline = first.select("entry_id", F.lit(1).cast("bigint").alias("level"), F.col("line").alias("heading_text"), (F.floor(F.col("line_no") / 4) + 1).alias("page"))
+    parsed = lines.select("entry_id", "start", F.lit(2).cast("bigint").alias("level"), F.col("line").alias("heading_text"))
     return a.merge_outline(parsed, outline, pages)
 
 

@@ -13,19 +13,28 @@ import re
 import zipfile
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
+from typing import Any, NamedTuple
 from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import EXTENSIONS, content_type
+from ..functions.text import EXTENSIONS, content_type, drop_page_noise
 
 CELL_CHARS, NOTE_CHARS = 500, 2000
-EXTRACTED = "text string, pages array<struct<start:bigint,page:bigint>>, chapters array<struct<start:bigint,chapter:bigint,title:string>>, error string"
+EXTRACTED = "text string, printed array<string>, chapters array<struct<start:bigint,chapter:bigint,title:string>>, outline array<struct<level:bigint,title:string,page:bigint>>, error string"
 #: Encodings that are tried in turn.
 ENCODINGS = ("utf-8", "gbk", "gb2312", "latin-1")
-Extracted = tuple[str, list[tuple[int, int]], list[tuple[int, int, str]]]
+
+
+class Extracted(NamedTuple):
+    """A text or else the texts of its pages as printed, where chapters begin (start, chapter, title), and bookmarks (level, title, page)."""
+
+    text: str | None
+    printed: list[str] = []
+    chapters: list[tuple[int, int, str]] = []
+    outline: list[tuple[int, str, int]] = []
 
 
 def scan(spark: SparkSession, folder: str) -> DataFrame:
@@ -34,7 +43,7 @@ def scan(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder)
     name = F.element_at(F.split("path", "/"), -1)
     wanted = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*known)
-    return files.where(wanted).select("path", name.alias("name"), content_type(F.col("path")).alias("kind"), "content").orderBy(F.lower("name"), "name")
+    return files.where(wanted).select("path", name.alias("name"), content_type(F.col("path")).alias("kind"), "content")
 
 
 def decode_text(data: bytes) -> str:
@@ -48,7 +57,7 @@ def decode_text(data: bytes) -> str:
 
 
 def plain_text(data: bytes) -> Extracted:
-    return decode_text(data), [], []
+    return Extracted(decode_text(data))
 
 
 def _local(tag: str) -> str:
@@ -77,7 +86,7 @@ def word_text(data: bytes) -> Extracted:
             level = re.fullmatch(r"Heading(-?\d+)", style)
             if said.strip():
                 out.append("#" * max(1, min(6, int(level[1]))) + " " + said if level else said)
-    return "\n".join(out), [], []
+    return Extracted("\n".join(out))
 
 
 def _sheet_rows(z: zipfile.ZipFile, part: str, shared: list[str]) -> Iterator[list[str]]:
@@ -117,7 +126,7 @@ def excel_text(data: bytes) -> Extracted:
         for sheet in _all(_xml(z, "xl/workbook.xml"), "sheet"):
             out.append(f"## 工作表: {sheet.get('name')}")
             out += [" | ".join(cells) for cells in _sheet_rows(z, parts[_attribute(sheet, "id")], shared) if any(c.strip() for c in cells)]
-    return "\n".join(out), [], []
+    return Extracted("\n".join(out))
 
 
 def slides_text(data: bytes) -> Extracted:
@@ -141,7 +150,7 @@ def slides_text(data: bytes) -> Extracted:
                     said = " ".join("".join(t.text or "" for t in _all(p, "t")) for s in _all(_xml(z, other), "sp") if any(_attribute(x, "type") == "body" for x in _all(s, "ph")) for p in _all(s, "p")).strip()
                     if said:
                         out.append("备注: " + said[:NOTE_CHARS])
-    return "\n".join(out), [], []
+    return Extracted("\n".join(out))
 
 
 class _Lines(HTMLParser):
@@ -208,40 +217,70 @@ def epub_text(data: bytes) -> Extracted:
                 chapters.append((at, len(chapters) + 1, titles.get(resolve(x.get("href")), "")))
                 texts.append(said)
                 at += len(said) + 2
-    return "\n\n".join(texts), [], chapters
+    return Extracted("\n\n".join(texts), chapters=chapters)
 
 
 def pdf_text(data: bytes) -> Extracted:
-    """Page texts joined by line ends, with each page's offset."""
+    """The texts of the pages as printed, and the bookmarks.
+
+    A page that can't be read is empty, and bookmarks that can't be read, or that name no
+    page, are left out; the text stays.
+    """
     from pypdf import PdfReader  # optional
 
-    texts, pages, at = [], [], 0
-    for number, page in enumerate(PdfReader(io.BytesIO(data)).pages, 1):
-        said = page.extract_text() or ""
-        pages.append((at, number))
-        texts.append(said)
-        at += len(said) + 1
-    return "\n".join(texts), pages, []
+    reader = PdfReader(io.BytesIO(data))
+    texts = []
+    for page in reader.pages:
+        try:
+            texts.append(page.extract_text() or "")
+        except Exception:  # the other pages are kept
+            texts.append("")
+    try:
+        marks = list(_bookmarks(reader, reader.outline))
+    except Exception:  # a broken outline must not cost the text
+        marks = []
+    return Extracted(None, texts, outline=marks)
+
+
+def _bookmarks(reader: Any, nodes: list, level: int = 1) -> Iterator[tuple[int, str, int]]:
+    """(level, title, page from 1) of bookmarks in order; a list holds those below the bookmark before it."""
+    for node in nodes:
+        if isinstance(node, list):
+            yield from _bookmarks(reader, node, level + 1)
+            continue
+        page = reader.get_destination_page_number(node)
+        title = (node.title or "").strip()
+        if page is not None and page >= 0 and title:
+            yield level, title, page + 1
 
 
 READERS: dict[str, Callable[[bytes], Extracted]] = {"text": plain_text, "word": word_text, "excel": excel_text, "pptx": slides_text, "epub": epub_text, "pdf": pdf_text}
 
 
 def extract(files: DataFrame) -> DataFrame:
-    """(path, kind, text, pages, chapters, error) of scanned files; a file that can't be read has an error."""
+    """(path, kind, text, pages, chapters, outline, error) of scanned files; a file that can't be read has an error.
+
+    Printed footers go from a file's pages before the pages are joined by line ends and their offsets counted.
+    """
+    tables = {"chapters": ("start", "chapter", "title"), "outline": ("level", "title", "page")}
+    struct = lambda names: pa.list_(pa.struct([(n, pa.string() if n == "title" else pa.int64()) for n in names]))
+    kinds = {"path": pa.string(), "kind": pa.string(), "text": pa.string(), "printed": pa.list_(pa.string()), **{c: struct(names) for c, names in tables.items()}, "error": pa.string()}
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.string(), pa.string(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("page", pa.int64())])), pa.list_(pa.struct([("start", pa.int64()), ("chapter", pa.int64()), ("title", pa.string())])), pa.string())
         for batch in batches:
             rows = []
             for path, kind, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 try:
-                    text, pages, chapters = READERS[kind](data)
-                    rows.append((path, kind, text, [{"start": a, "page": n} for a, n in pages], [{"start": a, "chapter": n, "title": t} for a, n, t in chapters], None))
+                    found, error = READERS[kind](data), None
                 except Exception as e:  # one bad file must not end the batch
-                    rows.append((path, kind, None, [], [], f"{type(e).__name__}: {e}"))
-            columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["path", "kind", "text", "pages", "chapters", "error"])
+                    found, error = Extracted(None), f"{type(e).__name__}: {e}"
+                named = {c: [dict(zip(names, x, strict=True)) for x in getattr(found, c)] for c, names in tables.items()}
+                rows.append({"path": path, "kind": kind, "text": found.text, "printed": found.printed, **named, "error": error})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema(list(kinds.items())))
 
     chosen = files.where(F.col("kind").isin(*READERS)).select("path", "kind", "content")
-    return chosen.mapInArrow(apply, f"path string, kind string, {EXTRACTED}")
+    rows = chosen.mapInArrow(apply, f"path string, kind string, {EXTRACTED}").withColumn("_pages", F.transform("printed", drop_page_noise))
+    before = lambda i: F.aggregate(F.slice("_pages", F.lit(1), i), F.lit(0).cast("bigint"), lambda at, x: at + F.length(x) + 1)
+    pages = F.transform("_pages", lambda _, i: F.struct(before(i).alias("start"), (i + 1).cast("bigint").alias("page")))
+    text = F.when(F.size("_pages") > 0, F.array_join("_pages", "\n")).otherwise(F.col("text"))
+    return rows.select("path", "kind", text.alias("text"), pages.alias("pages"), "chapters", "outline", "error")
