@@ -25,7 +25,7 @@ from ..functions import text as t
 from ..functions.embed import Embedder, embed_column
 from ..operators import anchors as a
 from ..operators import ingest as i
-from ..operators import postings, read, verify
+from ..operators import nearest, postings, read, verify
 from ..operators import retrieve as r
 from ..operators import segment as s
 from ..session import materialise
@@ -36,7 +36,8 @@ NAME = re.compile("[A-Za-z0-9一-鿿_-]+")
 SCHEMAS = {
     "entries": "entry_id string, title string, source_type string, source_ref string, author string, publisher string, publish_date string, created_at string, updated_at string, total_chars long, chunk_count long, text string, workspace string",
     "chunks": "entry_id string, chunk_no long, start long, stop long, chunk_text string, title string, author string, publisher string, publish_date string, workspace string",
-    "vectors": "entry_id string, chunk_no long, win_start long, win_end long, embedding array<float>, workspace string",
+    "vectors": "entry_id string, chunk_no long, win_start long, win_end long, embedding array<float>, cell int, workspace string",
+    "cells": nearest.SCHEMA,
     "headings": "entry_id string, heading_no long, start long, level long, heading_text string, workspace string",
     "ledger": "entry_id string, start long, kind string, v1 long, v2 long, title string, workspace string",
     "postings": postings.SCHEMA,
@@ -145,6 +146,8 @@ class Store:
         folder, parts = f"data/{name}/change={uuid.uuid4().hex}", ["_w"]
         if name == "postings":
             dealt, parts = rows.hint("rebalance", "_w", "bucket").sortWithinPartitions("bucket", "gram"), ["_w", "bucket"]
+        elif name == "vectors":
+            dealt, parts = rows.hint("rebalance", "_w", "cell"), ["_w", "cell"]
         else:
             dealt = rows.hint("rebalance", "_w").sortWithinPartitions(schema.names[0])
         dealt.write.partitionBy(*parts).parquet(f"{self.root}/{folder}")
@@ -162,6 +165,14 @@ class Store:
         self._replace(state, "postings", postings.build(chunks), workspaces)
         self._replace(state, "index_stats", postings.statistics(chunks), workspaces)
 
+    def _cells(self, state: State, workspace: str) -> None:
+        """All vectors of a workspace in cells, and the bounds of these; vectors that come later are in none until the next time."""
+        mine = self.table("vectors", state).where(F.col("workspace") == workspace)
+        pivots, first = nearest.later_pivots(mine, self.table("cells", state))
+        done = materialise(nearest.assign(mine, pivots, first), "cells")
+        self._replace(state, "vectors", done, [workspace])
+        self._replace(state, "cells", nearest.bounds(done, pivots, first), [workspace])
+
     def prune(self, keep: int = 2) -> int:
         """Delete all but the last ``keep`` versions and what only these name; returns how many folders went.
 
@@ -318,7 +329,7 @@ class Store:
         key = F.concat_ws("\u0000", "workspace", "entry_id", F.col("chunk_no").cast("string"), F.col("start").cast("string"))
         found = embed_column(s.windows(chunks.select(key.alias("_key"), F.col("chunk_text").alias("text")), "_key"), embedder)
         part = F.split("_key", "\u0000")
-        return found.select(part[0].alias("workspace"), part[1].alias("entry_id"), part[2].cast("bigint").alias("chunk_no"), (part[3].cast("bigint") + F.col("win_start")).alias("win_start"), (part[3].cast("bigint") + F.col("win_end")).alias("win_end"), "embedding")
+        return found.select(part[0].alias("workspace"), part[1].alias("entry_id"), part[2].cast("bigint").alias("chunk_no"), (part[3].cast("bigint") + F.col("win_start")).alias("win_start"), (part[3].cast("bigint") + F.col("win_end")).alias("win_end"), "embedding", F.lit(None).cast("int").alias("cell"))
 
     def embed(self, embedder: Embedder) -> int:
         """Vectors for the entries that have none; returns how many entries."""
@@ -358,10 +369,11 @@ class Store:
         self._commit(state)
 
     def vacuum(self, workspace: str) -> None:
-        """Rewrite a workspace's files, few and sorted, with a new keyword index, and delete what no version of the last two names."""
+        """Rewrite a workspace's files, few and sorted, with a new keyword index and its vectors in cells, and delete what no version of the last two names."""
         state = self.state()
-        for name in ("entries", *PARTS):
+        for name in ("entries", "chunks", "headings", "ledger"):
             self._replace(state, name, self.table(name, state).where(F.col("workspace") == workspace), [workspace])
+        self._cells(state, workspace)
         self._index(state, [workspace])
         self._commit(state)
         self.prune()
@@ -371,7 +383,7 @@ class Store:
     def library(self) -> Library:
         state = self.state()
         tables = {n: self.table(n, state) for n in SCHEMAS}
-        return Library(*(tables[n] for n in ("entries", "chunks", "vectors", "headings", "ledger")), r.KeywordIndex(tables["postings"], tables["index_stats"]))
+        return Library(*(tables[n] for n in ("entries", "chunks", "vectors", "headings", "ledger")), r.KeywordIndex(tables["postings"], tables["index_stats"]), tables["cells"])
 
     def search(self, text: str, embedder: Embedder | None = None, limit: int = 20, mode: str = "fused", workspaces: list[str] | None = None) -> tuple[DataFrame, Search]:
         """(hits by section with all their details, the planned search)."""

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import anchors as a
+from ..operators import nearest, read
 from ..operators import query as q
-from ..operators import read
 from ..operators import retrieve as r
 
 MODES = ("fused", "fts", "vector")
@@ -26,6 +26,7 @@ class Library:
     headings: DataFrame
     ledger: DataFrame | None = None
     index: r.KeywordIndex | None = None
+    cells: DataFrame | None = None
 
 
 @dataclass
@@ -58,7 +59,7 @@ def plan(library: Library, text: str, unit_query: list[float] | None = None, lim
     if workspaces is not None:
         here = lambda df: df.where(F.col("workspace").isin(workspaces))
         index = library.index and r.KeywordIndex(here(library.index.postings), here(library.index.statistics))
-        library = Library(*map(here, (library.entries, library.chunks, library.vectors, library.headings)), index=index)
+        library = Library(*map(here, (library.entries, library.chunks, library.vectors, library.headings)), index=index, cells=library.cells and here(library.cells))
     topic = q.parse(text, as_filters=True)
     allowed = r.entry_filter(library.entries, topic)
     if not topic.items and not topic.like_terms:
@@ -75,7 +76,10 @@ def plan(library: Library, text: str, unit_query: list[float] | None = None, lim
         raise q.QueryError("vector_unavailable")
     if mode != "fts" and available:
         try:
-            vector = r.vector_route(library.vectors, unit_query, wide, allowed, vector_cap)
+            if library.cells is not None:
+                vector = nearest.vector_route(nearest.VectorIndex(library.vectors, library.cells), unit_query, wide, allowed, vector_cap)
+            else:
+                vector = r.vector_route(library.vectors, unit_query, wide, allowed, vector_cap)
         except q.QueryError as e:
             if mode == "vector":
                 raise

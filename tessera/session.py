@@ -40,15 +40,15 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
+def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder, in folders ``by`` a column if one is named, and read it back.
 
     Cuts the lineage: what follows never recomputes ``df``, and a lost executor
     loses none of it. The table is deleted when the driver process ends.
     """
     spark = df.sparkSession
     path = _own_path(spark, name)
-    df.write.parquet(path)
+    (df.hint("rebalance", by).write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

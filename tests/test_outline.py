@@ -111,6 +111,5 @@ def test_running_headers_by_the_number_of_pages(spark, tmp_path):
     store.ingest(spark.createDataFrame(rows, "workspace string, text string, pages array<struct<start:bigint,page:bigint>>"), "2024-01-01")
     count = lambda: {w: store.table("headings").where(f"workspace = '{w}'").count() for w in "abc"}
     assert count() == {"a": 10, "b": 5, "c": 0}
-    for w in "abc":
-        store.reindex(w)
+    store.reindex("b")
     assert count() == {"a": 10, "b": 5, "c": 0}
