@@ -110,6 +110,13 @@ def test_top_k_brute_force(spark, monkeypatch, n):
     assert sorted(map(tuple, topk.top_k(table).collect())) == brute_top(rows, 10)
 
 
+def test_top_k_sends_no_query_blocks_through_the_driver(spark):
+    table = spark.range(400).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: (i * F.col("id") % 17).cast("float")).alias("embedding"))
+    found = topk.top_k(table)
+    assert found.count() == 40 and found.collect()
+    assert "BroadcastHashJoin [part" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_top_k_large_values_are_exact(spark):
     rows = [(0, [3e5, -2e5]), (1, [3e5, 1.0]), (2, [2.9e5, -9e5])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
