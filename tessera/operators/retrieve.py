@@ -42,8 +42,11 @@ def entry_filter(entries: DataFrame, query: q.Query) -> DataFrame | None:
     return entries.where(reduce(Column.__and__, tests)).select("entry_id") if tests else None
 
 
-def bm25(table: DataFrame, query: q.Query, columns: tuple[str, ...], group: str = "workspace") -> DataFrame:
-    """``table`` with ``bm25`` (lower is better), from the statistics of each workspace's whole table."""
+def bm25(table: DataFrame, query: q.Query, columns: tuple[str, ...], group: str = "workspace", carried: list[Column] | None = None) -> DataFrame:
+    """``table`` with ``bm25`` (lower is better), from the statistics of each workspace's whole table.
+
+    ``carried`` are computed where the texts lie and pass the join with the statistics instead of the table's columns.
+    """
     terms = [t for t in query.terms if set(t.columns) & set(columns)]
     length = sum((F.greatest(F.lit(0), F.length(F.coalesce(F.col(c), F.lit(""))) - (q.TRIGRAM - 1)) for c in columns), F.lit(0))
     counted = table.withColumn("_length", length.cast("double"))
@@ -52,8 +55,11 @@ def bm25(table: DataFrame, query: q.Query, columns: tuple[str, ...], group: str
     whole = counted.groupBy(F.col(group).alias("_group")).agg(
         F.count("*").cast("double").alias("_n"), F.avg("_length").alias("_mean"), *[F.count_if(F.col(f"_f{i}") > 0).cast("double").alias(f"_n{i}") for i in range(len(terms))]
     )
-    joined = counted.join(whole, F.col(group).eqNullSafe(F.col("_group")))
-    return joined.select(*table.columns, _bm25_of(len(terms)).alias("bm25"))
+    if carried is not None:
+        counted = counted.select(F.col(group).alias("_of"), *carried, "_length", *[f"_f{i}" for i in range(len(terms))])
+    joined = counted.join(whole, F.col(group if carried is None else "_of").eqNullSafe(F.col("_group")))
+    kept = table.columns if carried is None else [c for c in counted.columns if c not in ("_of", "_length") and c not in {f"_f{i}" for i in range(len(terms))}]
+    return joined.select(*kept, _bm25_of(len(terms)).alias("bm25"))
 
 
 def _bm25_of(n_terms: int) -> Column:
@@ -116,7 +122,9 @@ def keyword_route(chunks: DataFrame, query: q.Query, limit: int = 20, allowed: D
             rows = indexed_matches(index, query)
             coverage, tf, first = F.col("coverage"), F.col("tf"), F.col("first")
         else:
-            rows = bm25(chunks, query, q.TEXT_COLUMNS).where(test)
+            own = [coverage.alias("coverage"), tf.alias("tf"), first.cast("bigint").alias("first")]
+            rows = bm25(chunks, query, q.TEXT_COLUMNS, carried=[*keys, F.col("start"), test.alias("_holds"), *own]).where("_holds")
+            coverage, tf, first = F.col("coverage"), F.col("tf"), F.col("first")
         if allowed is not None:
             rows = rows.join(allowed, "entry_id", "left_semi")
         rows = rows.select(*keys, F.round("bm25", 12).alias("bm25"), coverage.cast("bigint").alias("coverage"), tf.cast("bigint").alias("tf"), (F.col("start") + first - 1).cast("bigint").alias("hit_offset"))

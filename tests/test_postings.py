@@ -1,5 +1,7 @@
 """The stored keyword index against the scan."""
 
+import re
+
 import pytest
 
 from tessera.operators import postings
@@ -47,3 +49,13 @@ def test_empty_index(spark):
     none = rows(spark).limit(0)
     index = r.KeywordIndex(postings.build(none), postings.statistics(none))
     assert r.keyword_route(none, q.parse("alpha"), 20, index=index).count() == 0 and not postings.usable(q.parse("no")) and not postings.usable(q.parse('"of" alpha'))
+
+
+def test_texts_do_not_pass_the_join_with_the_statistics(spark):
+    made = [("w" if n % 2 else "v", f"e{n}", 0, 0, f"alpha {n}", None, None, None, f"{2000 + n}") for n in range(20)]
+    chunks = spark.createDataFrame(made, CHUNK)
+    topic = q.parse("publish_date>=2010 alpha")
+    found = r.keyword_route(chunks, topic, 20, r.entry_filter(chunks, topic))
+    joins = re.findall(r"\n(?:[ :]*)[+:]- Join Inner[^\n]*\n(?:[ :]*):- Project (\[[^\n]*\])", found._jdf.queryExecution().optimizedPlan().toString())
+    assert joins and all(re.search(r"[ \[]chunk_text#\d+[,\]]", re.sub(r"\(.*?\) AS", "AS", j)) is None for j in joins)
+    assert {x.entry_id for x in found.collect()} == {f"e{n}" for n in range(10, 20)}
