@@ -17,7 +17,7 @@ METADATA = ("title", "author", "publisher", "publish_date")
 
 def split_rejects(items: DataFrame, text: str = "text", workspace: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(good, rejected with ``reason``): blank texts and bad workspace names are refused row by row."""
-    blank = F.trim(F.coalesce(F.regexp_replace(text, r"\s+", " "), F.lit(""))) == ""
+    blank = ~F.coalesce(F.col(text).rlike(r"\S"), F.lit(False))
     reason = F.when(blank, "empty_text")
     if workspace:
         reason = reason.when(~F.coalesce(F.col(workspace).rlike(t.WORKSPACE_NAME), F.lit(False)), "bad_workspace")

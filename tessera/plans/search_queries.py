@@ -69,7 +69,8 @@ def anywhere(p: str) -> str:
 
 def index_of(chunks: DataFrame) -> r.KeywordIndex:
     """The keyword index of ``chunks``, stored in the shared folder."""
-    return r.KeywordIndex(materialise(postings.build(chunks), "postings"), materialise(postings.statistics(chunks), "index-stats"))
+    stored = materialise(postings.build(chunks), "postings")
+    return r.KeywordIndex(stored, materialise(postings.stored_statistics(stored), "index-stats"))
 
 
 COLUMNS_SQL = "SELECT workspace, entry_id, chunk_no, route_rank, round(score, 4) AS score, round(bm25, 6) AS bm25, coverage, tf, hit_offset, match_mode FROM keyword"

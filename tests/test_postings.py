@@ -2,7 +2,9 @@
 
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import postings
 from tessera.operators import query as q
@@ -51,6 +53,36 @@ def test_empty_index(spark):
     assert r.keyword_route(none, q.parse("alpha"), 20, index=index).count() == 0 and not postings.usable(q.parse("no")) and not postings.usable(q.parse('"of" alpha'))
 
 
+def test_index_says_each_chunk_once(spark, both):
+    chunks, index = both
+    stored = index.postings
+    said = stored.where(F.col("gram") == postings.DIRECTORY).select("workspace", F.explode("chunks").alias("c")).select("workspace", "c.entry_id", "c.chunk_no")
+    assert sorted(map(tuple, said.collect())) == sorted(map(tuple, chunks.select(*postings.KEY).collect()))
+    assert "entry_id" not in stored.schema["places"].dataType.simpleString()
+    assert sorted(map(tuple, postings.stored_statistics(stored).collect())) == sorted(map(tuple, postings.statistics(chunks).collect()))
+
+
+@pytest.mark.parametrize("alphabet", ["ab", "abc de\u00e9\U0001d11e", "".join(map(chr, range(0x3000, 0xD000)))])
+def test_sorted_grams_brute_force(alphabet):
+    text = "".join(alphabet[i * i * 7919 % 100_003 % len(alphabet)] for i in range(70_000))
+    points = np.array([ord(c) for c in text], np.int64)
+    at = np.array([i for i in range(len(points) - 2) if i % 7 < 5])
+    places, heads = postings._sorted_grams(points, at)
+    assert places.tolist() == sorted(at.tolist(), key=lambda i: (ord(text[i + 2]), ord(text[i + 1]), ord(text[i]), i))
+    assert heads.tolist() == [n for n, i in enumerate(places) if n == 0 or text[i : i + 3] != text[places[n - 1] : places[n - 1] + 3]]
+
+
+def test_blocks_of_any_size(spark, both, monkeypatch):
+    chunks, index = both
+    monkeypatch.setattr(postings, "BLOCK", 2)
+    small = r.KeywordIndex(postings.build(chunks.coalesce(1)).cache(), index.statistics)
+    monkeypatch.setattr(postings, "BLOCK_CHARS", 30)
+    short = r.KeywordIndex(postings.build(chunks.coalesce(1)).cache(), index.statistics)
+    for text in ("gamma alpha soup", "NEAR(alpha soup, 12)"):
+        wanted = sorted(map(tuple, r.keyword_route(chunks, q.parse(text), 20).collect()))
+        assert wanted and all(sorted(map(tuple, r.keyword_route(chunks, q.parse(text), 20, index=x).collect())) == wanted for x in (small, short))
+
+
 def test_texts_do_not_pass_the_join_with_the_statistics(spark):
     made = [("w" if n % 2 else "v", f"e{n}", 0, 0, f"alpha {n}", None, None, None, f"{2000 + n}") for n in range(20)]
     chunks = spark.createDataFrame(made, CHUNK)
